@@ -1,0 +1 @@
+"""Empty on purpose: every analysis in this package is a batch job over stored tables."""
