@@ -272,7 +272,7 @@ ORACLE_SQL: dict[str, str] = {
              max(ship_mode) FILTER (place = 1) AS ship_mode,
              max(strftime(ship_date, '%d-%m-%Y')) FILTER (place = 1) AS ship_date,
              cast(max(date_diff('day', order_date, ship_date)) FILTER (place = 1) AS integer) AS delay,
-             round_even(cast(sum(cast(shipping_cost AS decimal(18,4))) AS double) * 1000, 0) / 1000
+             round_even(cast(sum(shipping_cost) AS double) * 1000, 0) / 1000
                AS shipping_cost
       FROM placed GROUP BY order_id""",
     "order_recap_lines": f"""WITH {_RECAP}

@@ -1,20 +1,32 @@
 """Exact sums, safe ratios and rounding.
 
-Measures are added as decimals, so a total does not depend on the order in which
-partitions arrive; it becomes a double once, before any division.
+Amounts are doubles, but a sum of doubles depends on the order in which partitions arrive.
+So amounts are added as whole numbers of their smallest unit and scaled back once, which
+gives the same total on any cluster.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+AMOUNT_DIGITS = 4
 
 
-def exact_sum(measure: Column | str) -> Column:
+def units(measure: Column | str, digits: int = AMOUNT_DIGITS) -> Column:
+    """The amount in whole units of its last digit; the decimal type leaves room for sums."""
     column = F.col(measure) if isinstance(measure, str) else measure
-    return F.sum(column.cast(MONEY)).cast("double")
+    return F.rint(column.cast("double") * float(10**digits)).cast("long").cast("decimal(18,0)")
+
+
+def from_units(total: Column, digits: int = AMOUNT_DIGITS) -> Column:
+    return (total * F.lit(Decimal(1).scaleb(-digits))).cast("double")
+
+
+def exact_sum(measure: Column | str, digits: int = AMOUNT_DIGITS) -> Column:
+    return from_units(F.sum(units(measure, digits)), digits)
 
 
 def exact_mean(measure: Column | str) -> Column:

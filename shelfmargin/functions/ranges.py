@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 # Range labels with their right-closed upper bounds in percent.
 DISCOUNT_RANGES = (("0-10%", 10), ("10-20%", 20), ("20-30%", 30), ("30-40%", 40), ("40%+", 100))
-LOWEST_PERCENT = "-0.01"
+LOWEST_PERCENT = -0.01
+_DIGITS = 4
 
 
 def discount_range_no(discount: Column) -> Column:
-    """1-based range of a 0-1 discount, NULL outside ``(-0.01 %, 100 %]``."""
-    percent = discount.cast("decimal(18,6)") * 100
-    number = F.when(percent <= F.lit(LOWEST_PERCENT).cast("decimal(18,6)"), None)
+    """1-based range of a 0-1 discount, NULL outside ``(-0.01 %, 100 %]``.
+
+    Compared as whole ten-thousandths of a percent, so that 0.1 is exactly 10 %.
+    """
+    scale = 10**_DIGITS
+    percent = F.rint(discount.cast("double") * float(100 * scale))
+    number = F.when(percent <= LOWEST_PERCENT * scale, None)
     for index, (_, upper) in enumerate(DISCOUNT_RANGES, start=1):
-        number = number.when(percent <= upper, index)
+        number = number.when(percent <= float(upper * scale), index)
     return number.cast("int")
 
 

@@ -124,7 +124,7 @@ def order_recap(
         first_line.alias("first"),
         rounded(exact_sum("profit"), 3).alias("total_profit"),
         rounded(exact_sum("sales"), 3).alias("total_sales"),
-        rounded(exact_sum("shipping_cost"), 3).alias("shipping_cost"),
+        rounded(exact_sum("shipping_cost", 6), 3).alias("shipping_cost"),
     )
     item_fields = ("product_id", "quantity", "sales", "profit", "discount")
     hot = hot_keys(sales, "order_id", floor=items_per_part)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmargin.functions.money import MONEY, exact_sum
+from shelfmargin.functions.money import exact_sum, from_units, units
 from shelfmargin.operators.skew import HOT_ROWS, hot_keys, join_sliced
 
 
@@ -23,13 +23,13 @@ def _baskets(orders: DataFrame) -> DataFrame:
     return (
         orders.where(F.col("order_id").isNotNull())
         .groupBy("order_id", "product_id")
-        .agg(F.count("*").alias("line_count"), F.sum(F.col("sales").cast(MONEY)).alias("sales"))
+        .agg(F.count("*").alias("line_count"), F.sum(units("sales")).alias("sales_units"))
     )
 
 
 def _with_totals(orders: DataFrame, hot_rows: int) -> DataFrame:
     baskets = _baskets(orders)
-    totals = baskets.groupBy("order_id").agg(F.sum("sales").alias("order_total"))
+    totals = baskets.groupBy("order_id").agg(F.sum("sales_units").alias("order_units"))
     hot = hot_keys(baskets, "order_id", floor=hot_rows)
     return join_sliced(
         baskets.select("order_id", "product_id", "line_count"),
@@ -46,7 +46,7 @@ def basket_totals(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "order_id",
         "product_id",
         "line_count",
-        F.col("order_total").cast("double").alias("order_total"),
+        from_units(F.col("order_units")).alias("order_total"),
     )
 
 
@@ -57,7 +57,7 @@ def trap_products(orders: DataFrame, product: DataFrame, hot_rows: int = HOT_ROW
         .groupBy("product_id")
         .agg(
             F.sum("line_count").alias("frequency"),
-            F.sum(F.col("line_count") * F.col("order_total")).cast("double").alias("value_sum"),
+            from_units(F.sum(F.col("line_count") * F.col("order_units"))).alias("value_sum"),
         )
     )
     mean = F.col("value_sum") / F.col("frequency")

@@ -98,9 +98,7 @@ def _keyed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = _sales(spark, sf_dir)
     keyed = etl.attach_product(sales, etl.product_table(sales))
-    facts = etl.order_table(etl.attach_location(keyed, etl.location_table(sales)))
-    measures = ("sales", "discount", "profit", "shipping_cost")
-    return facts.withColumns({name: F.col(name).cast("double") for name in measures})
+    return etl.order_table(etl.attach_location(keyed, etl.location_table(sales)))
 
 
 def _split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,16 +172,8 @@ QUERIES: dict[str, Query] = {
     "order_recap_lines": _recap_lines,
     "shipping_delays": _delays,
     # discount
-    "discount_base": _discount(
-        lambda lines: lines.withColumns(
-            {name: F.col(name).cast("double") for name in ("sales", "discount", "profit")}
-        )
-    ),
-    "discount_filtered": _discount(
-        lambda lines: discount.filter_lines(lines, FACET_CHOICE).withColumns(
-            {name: F.col(name).cast("double") for name in ("sales", "discount", "profit")}
-        )
-    ),
+    "discount_base": _discount_lines,
+    "discount_filtered": _discount(lambda lines: discount.filter_lines(lines, FACET_CHOICE)),
     "facet_options": _discount(discount.filter_options),
     "facet_options_scoped": _discount(
         lambda lines: discount.filter_options(

@@ -114,16 +114,22 @@ def rename_sales(df: DataFrame) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, name: str, fmt: str = "parquet", options: Mapping[str, str] | None = None
+    spark: SparkSession,
+    name: str,
+    fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """A stored table by path (Parquet, CSV, ...) or, for ``jdbc``, by database name.
 
-    For a large database table pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and
+    With a ``schema`` no job runs to look it up. For a large database table pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and
     ``numPartitions`` among the options, so that many tasks read it.
     """
     reader = spark.read.format(fmt).options(**(options or {}))
     if fmt == "jdbc":
         return reader.option("dbtable", name).load()
+    if schema is not None:
+        reader = reader.schema(schema)
     return reader.load(name)
 
 

@@ -30,41 +30,58 @@ ORDER_COLUMNS = (
     "order_priority",
 )
 
+# Columns of the test tables.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
 _FROM_ORDERS = {"customer_id", "location_id", "order_date", "order_priority"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", schema=_SCHEMAS[name])
+
+
+def _hundredths(column: str) -> Column:
+    return F.rint(F.col(column) * 100).cast("long")
 
 
 def order_lines(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = ORDER_COLUMNS
 ) -> DataFrame:
     """The ``orders`` table (one row per line) with the given columns."""
-    lines = _table(spark, sf_dir, "lineitem")
-    lines = lines.select(
-        "*",
-        (F.col("l_discount").cast("decimal(3,2)") * 5).cast("decimal(5,2)").alias("discount"),
-    ).withColumn(
-        "sales", F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("discount"))
-    )
-    lines = lines.withColumns(
-        {
-            "order_id": F.col("l_orderkey"),
-            "product_id": F.col("l_partkey"),
-            "quantity": F.col("l_quantity").cast("bigint"),
-            "shipping_cost": F.col("sales") * F.col("l_tax").cast("decimal(3,2)"),
-            "ship_date": F.col("l_shipdate").cast("date"),
-            "ship_mode": F.col("l_returnflag"),
-        }
+    percent = _hundredths("l_discount") * 5
+    sales_units = _hundredths("l_extendedprice") * (100 - percent)
+    lines = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.col("l_partkey"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_partkey").alias("product_id"),
+        sales_units.alias("sales_units"),
+        (sales_units / 10_000).alias("sales"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        (percent / 100).alias("discount"),
+        (sales_units * _hundredths("l_tax") / 1_000_000).alias("shipping_cost"),
+        F.col("l_shipdate").cast("date").alias("ship_date"),
+        F.col("l_returnflag").alias("ship_mode"),
     )
     if "profit" in columns:
-        part = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-        cost = F.col("l_quantity").cast("decimal(4,0)") * F.col("p_retailprice").cast(
-            "decimal(12,2)"
+        part = _table(spark, sf_dir, "part").select(
+            "p_partkey", _hundredths("p_retailprice").alias("price_units")
         )
+        cost_units = F.col("quantity") * F.col("price_units") * 100
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn(
-            "profit", F.col("sales") - cost
+            "profit", (F.col("sales_units") - cost_units) / 10_000
         )
     if _FROM_ORDERS & set(columns):
         orders = _table(spark, sf_dir, "orders").select(
