@@ -18,10 +18,18 @@ COPIES_PER_BLOCK = 1_000
 
 
 def hot_keys(
-    rows: DataFrame, key: str, floor: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
+    rows: DataFrame,
+    key: str,
+    floor: int = HOT_ROWS,
+    max_keys: int = MAX_HOT_KEYS,
+    copies: str | None = None,
 ) -> DataFrame:
-    """``key, slices``: hot keys and the number of slices that make each slice small."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("key_rows"))
+    """``key, slices``: hot keys and the number of slices that make each slice small.
+
+    ``copies`` names a column that says how many equal rows a row stands for.
+    """
+    size = F.sum(copies) if copies else F.count("*")
+    counts = rows.groupBy(key).agg(size.alias("key_rows"))
     total = counts.agg(F.sum("key_rows")).scalar()
     limit = F.greatest(F.lit(float(floor)), total / F.lit(float(max_keys)))
     return counts.where(F.col(key).isNotNull() & (F.col("key_rows") > limit)).select(
@@ -53,19 +61,15 @@ def join_sliced(
 
 
 def collect_in_parts(
-    rows: DataFrame,
-    key: str,
-    fields: Sequence[str],
-    name: str,
-    hot: DataFrame,
+    counted: DataFrame, key: str, fields: Sequence[str], name: str, hot: DataFrame
 ) -> DataFrame:
     """``key, part, name``: an array of the ``fields`` structs of each key, sorted.
 
-    A key outside ``hot`` is one part. A hot key is several parts that together hold every
-    row, so no task builds an unbounded array. Equal rows are counted first and dealt out in
-    blocks, which spreads a large group of copies as well.
+    ``counted`` has its equal rows folded into one with a ``copies`` count. A key outside
+    ``hot`` is one part. A hot key is several parts that together hold every row, so no task
+    builds an unbounded array; copies are dealt out in blocks, which spreads a large group of
+    equal rows as well.
     """
-    counted = rows.groupBy(key, *fields).agg(F.count("*").alias("copies"))
     last_block = F.floor((F.col("copies") - 1) / COPIES_PER_BLOCK).cast("long")
     blocks = (
         counted.join(F.broadcast(hot), key, "left")

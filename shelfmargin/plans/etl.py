@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.dates import date_text, strict_date
-from shelfmargin.functions.money import exact_sum, rounded
+from shelfmargin.functions.money import from_units, rounded, units
 from shelfmargin.functions.names import attribute_map, padded_key, split_name
 from shelfmargin.operators.numbering import number_rows
 from shelfmargin.operators.skew import HOT_ROWS, collect_in_parts, hot_keys, repeat_per_part
@@ -87,7 +87,7 @@ def product_catalog(sales: DataFrame, items_per_part: int = HOT_ROWS) -> DataFra
     heads = sales.select(
         "product_id", "full_name", "category", "sub_category", "type", "variant"
     ).distinct()
-    ids = sales.select("product_id", "ori_product_id").distinct()
+    ids = sales.select("product_id", "ori_product_id").distinct().withColumn("copies", F.lit(1))
     hot = hot_keys(ids, "product_id", floor=items_per_part)
     lists = collect_in_parts(ids, "product_id", ["ori_product_id"], "ids", hot)
     return (
@@ -116,23 +116,31 @@ def order_recap(
     also sorts ``products``. ``part`` is 0 except for an order with more than
     ``items_per_part`` lines; its further products follow in documents with the same head.
     """
-    sales = sales.where(F.col("order_id").isNotNull())
-    first_line = F.min(
-        F.struct(*line_order, "order_date", "customer_id", "ship_mode", "ship_date")
+    item_fields = ("product_id", "quantity", "sales", "profit", "discount")
+    head_fields = ("order_date", "customer_id", "ship_mode", "ship_date")
+    fields = list(dict.fromkeys([*line_order, *item_fields, *head_fields, "shipping_cost"]))
+    lines = (
+        sales.where(F.col("order_id").isNotNull())
+        .groupBy("order_id", *fields)
+        .agg(F.count("*").alias("copies"))
     )
-    heads = sales.groupBy("order_id").agg(
-        first_line.alias("first"),
-        rounded(exact_sum("profit"), 3).alias("total_profit"),
-        rounded(exact_sum("sales"), 3).alias("total_sales"),
-        rounded(exact_sum("shipping_cost", 6), 3).alias("shipping_cost"),
+    hot = hot_keys(lines, "order_id", floor=items_per_part, copies="copies")
+
+    def total(measure: str, digits: int) -> Column:
+        whole = F.sum(units(measure, digits) * F.col("copies"))
+        return rounded(from_units(whole, digits), 3).alias(f"total_{measure}")
+
+    heads = lines.groupBy("order_id").agg(
+        F.min(F.struct(*line_order, *head_fields)).alias("first"),
+        total("profit", 4),
+        total("sales", 4),
+        total("shipping_cost", 6),
     )
-    item_fields = ("product_id", "quantity", "sales", "profit", "discount")
-    hot = hot_keys(sales, "order_id", floor=items_per_part)
     lists = collect_in_parts(
-        sales, "order_id", list(dict.fromkeys([*line_order, *item_fields])), "lines", hot
+        lines, "order_id", list(dict.fromkeys([*line_order, *item_fields])), "lines", hot
     )
 
-    def item(line):
+    def item(line: Column) -> Column:
         return F.struct(
             line["product_id"].alias("product_id"),
             line["quantity"].alias("quantity"),
@@ -154,7 +162,7 @@ def order_recap(
                 F.col("first.ship_mode").alias("ship_mode"),
                 date_text(F.col("first.ship_date")).alias("ship_date"),
                 F.datediff("first.ship_date", "first.order_date").alias("delay"),
-                F.col("shipping_cost"),
+                F.col("total_shipping_cost").alias("shipping_cost"),
             ).alias("shipping"),
         )
     )

@@ -91,12 +91,12 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = _sales(spark, sf_dir)
+    sales = cached(_sales(spark, sf_dir))
     return etl.attach_product(sales, etl.product_table(sales))
 
 
 def _star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = _sales(spark, sf_dir)
+    sales = cached(_sales(spark, sf_dir))
     keyed = etl.attach_product(sales, etl.product_table(sales))
     return etl.order_table(etl.attach_location(keyed, etl.location_table(sales)))
 

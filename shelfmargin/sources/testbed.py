@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.names import attribute_map, split_name
-from shelfmargin.sources.files import read_table
+from shelfmargin.sources.files import read_table, spread_small_scan
 
 ORDER_COLUMNS = (
     "order_id",
@@ -52,96 +52,88 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", schema=_SCHEMAS[name])
 
 
-def _hundredths(column: str) -> Column:
-    return F.rint(F.col(column) * 100).cast("long")
-
-
 def order_lines(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = ORDER_COLUMNS
 ) -> DataFrame:
-    """The ``orders`` table (one row per line) with the given columns."""
-    percent = _hundredths("l_discount") * 5
-    sales_units = _hundredths("l_extendedprice") * (100 - percent)
-    lines = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        F.col("l_partkey"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        sales_units.alias("sales_units"),
-        (sales_units / 10_000).alias("sales"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        (percent / 100).alias("discount"),
-        (sales_units * _hundredths("l_tax") / 1_000_000).alias("shipping_cost"),
-        F.col("l_shipdate").cast("date").alias("ship_date"),
-        F.col("l_returnflag").alias("ship_mode"),
+    """The ``orders`` table (one row per line) with the given columns.
+
+    Prices have two decimals and discounts are whole percents, so amounts are computed as
+    whole ten-thousandths and divided once.
+    """
+    lines = (
+        spread_small_scan(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+        .selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "cast(l_quantity AS bigint) AS quantity",
+            "cast(rint(l_discount * 100) AS bigint) * 5 AS percent_off",
+            "cast(rint(l_extendedprice * 100) AS bigint) AS price_units",
+            "cast(rint(l_tax * 100) AS bigint) AS tax_units",
+            "cast(l_shipdate AS date) AS ship_date",
+            "l_returnflag AS ship_mode",
+        )
+        .selectExpr(
+            "*",
+            "percent_off / 100 AS discount",
+            "price_units * (100 - percent_off) / 10000 AS sales",
+            "price_units * (100 - percent_off) * tax_units / 1000000 AS shipping_cost",
+        )
     )
     if "profit" in columns:
-        part = _table(spark, sf_dir, "part").select(
-            "p_partkey", _hundredths("p_retailprice").alias("price_units")
+        part = _table(spark, sf_dir, "part").selectExpr(
+            "p_partkey AS product_id", "cast(rint(p_retailprice * 100) AS bigint) AS cost_units"
         )
-        cost_units = F.col("quantity") * F.col("price_units") * 100
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn(
-            "profit", (F.col("sales_units") - cost_units) / 10_000
+        lines = lines.join(part, "product_id").selectExpr(
+            "*",
+            "(price_units * (100 - percent_off) - quantity * cost_units * 100) / 10000 AS profit",
         )
     if _FROM_ORDERS & set(columns):
-        orders = _table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("o_orderpriority").alias("order_priority"),
+        orders = _table(spark, sf_dir, "orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "cast(o_orderdate AS date) AS order_date",
+            "o_orderpriority AS order_priority",
         )
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = lines.join(orders, "order_id")
     if "location_id" in columns:
-        customer = _table(spark, sf_dir, "customer").select(
-            "c_custkey", F.col("c_nationkey").alias("location_id")
+        places = _table(spark, sf_dir, "customer").selectExpr(
+            "c_custkey AS customer_id", "c_nationkey AS location_id"
         )
-        lines = lines.join(customer, F.col("customer_id") == F.col("c_custkey"))
+        lines = lines.join(places, "customer_id")
     return lines.select(*columns)
 
 
 def product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("sub_category"),
+    return _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS product_name",
+        "p_type AS category",
+        "p_brand AS sub_category",
     )
 
 
 def location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _table(spark, sf_dir, "nation")
+    nation = _table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
     region = _table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("location_id"),
-        F.col("n_name").alias("country"),
-        F.col("r_name").alias("region"),
+    return nation.join(region, "r_regionkey").selectExpr(
+        "n_nationkey AS location_id", "n_name AS country", "r_name AS region"
     )
 
 
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("customer_name"),
-        F.col("c_mktsegment").alias("segment"),
-    )
-
-
-def _listed_name() -> Column:
-    """Name, type and size in one text: one, two or three comma parts."""
-    return F.concat_ws(
-        ", ",
-        F.col("p_name"),
-        F.when(F.col("p_size") % 3 != 0, F.col("p_type")),
-        F.when(F.col("p_size") % 3 == 2, F.concat(F.lit("size "), F.col("p_size").cast("string"))),
+    return _table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS customer_id", "c_name AS customer_name", "c_mktsegment AS segment"
     )
 
 
 def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        _listed_name().alias("listed_name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("sub_category"),
+    """Name, type and size in one text: one, two or three comma parts."""
+    return _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "concat_ws(', ', p_name, CASE WHEN p_size % 3 <> 0 THEN p_type END,"
+        " CASE WHEN p_size % 3 = 2 THEN concat('size ', p_size) END) AS listed_name",
+        "p_type AS category",
+        "p_brand AS sub_category",
     )
 
 
