@@ -9,10 +9,16 @@ UNKNOWN = "not have"
 ATTRIBUTES = ("type", "variant")
 
 
+# The characters that count as blank around a name part.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def name_part(name: Column, index: int) -> Column:
     """The ``index``-th comma part without surrounding blanks; NULL if there is none."""
-    part = F.get(F.split(name, ","), F.lit(index))
-    return F.regexp_replace(part, r"^\s+|\s+$", "")
+    return F.btrim(F.get(F.split(name, ","), F.lit(index)), F.lit(BLANKS))
 
 
 def split_name(name: Column) -> list[Column]:

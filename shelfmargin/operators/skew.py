@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmargin.session import cached
+
 HOT_ROWS = 100_000
 MAX_HOT_KEYS = 200_000
 COPIES_PER_BLOCK = 1_000
@@ -26,14 +28,17 @@ def hot_keys(
 ) -> DataFrame:
     """``key, slices``: hot keys and the number of slices that make each slice small.
 
-    ``copies`` names a column that says how many equal rows a row stands for.
+    ``copies`` names a column that says how many equal rows a row stands for. The list is
+    small and both sides of a join read it, so it is kept.
     """
     size = F.sum(copies) if copies else F.count("*")
     counts = rows.groupBy(key).agg(size.alias("key_rows"))
     total = counts.agg(F.sum("key_rows")).scalar()
     limit = F.greatest(F.lit(float(floor)), total / F.lit(float(max_keys)))
-    return counts.where(F.col(key).isNotNull() & (F.col("key_rows") > limit)).select(
-        key, F.ceil(F.col("key_rows") / limit).cast("int").alias("slices")
+    return cached(
+        counts.where(F.col(key).isNotNull() & (F.col("key_rows") > limit)).select(
+            key, F.ceil(F.col("key_rows") / limit).cast("int").alias("slices")
+        )
     )
 
 

@@ -13,6 +13,7 @@ from shelfmargin.functions.money import from_units, rounded, units
 from shelfmargin.functions.names import attribute_map, padded_key, split_name
 from shelfmargin.operators.numbering import number_rows
 from shelfmargin.operators.skew import HOT_ROWS, collect_in_parts, hot_keys, repeat_per_part
+from shelfmargin.session import cached
 from shelfmargin.sources.files import read_sales_csv, read_table, rename_sales, write_table
 from shelfmargin.sources.testbed import ORDER_COLUMNS
 
@@ -81,13 +82,14 @@ def order_table(sales: DataFrame) -> DataFrame:
 def product_catalog(sales: DataFrame, items_per_part: int = HOT_ROWS) -> DataFrame:
     """One document per product with its source ids and known attributes.
 
+    ``sales`` needs the product key. Names are split after the duplicates are gone.
     ``part`` is 0 except for a product whose ids exceed ``items_per_part``; its further ids
     follow in documents with the same head.
     """
-    heads = sales.select(
-        "product_id", "full_name", "category", "sub_category", "type", "variant"
-    ).distinct()
-    ids = sales.select("product_id", "ori_product_id").distinct().withColumn("copies", F.lit(1))
+    listed = cached(sales.select("product_id", *PRODUCT_KEY, "ori_product_id").distinct())
+    heads = listed.select("product_id", *PRODUCT_KEY).distinct()
+    heads = split_product_name(heads).drop("product_name").distinct()
+    ids = listed.select("product_id", "ori_product_id").distinct().withColumn("copies", F.lit(1))
     hot = hot_keys(ids, "product_id", floor=items_per_part)
     lists = collect_in_parts(ids, "product_id", ["ori_product_id"], "ids", hot)
     return (
@@ -119,7 +121,7 @@ def order_recap(
     item_fields = ("product_id", "quantity", "sales", "profit", "discount")
     head_fields = ("order_date", "customer_id", "ship_mode", "ship_date")
     fields = list(dict.fromkeys([*line_order, *item_fields, *head_fields, "shipping_cost"]))
-    lines = (
+    lines = cached(
         sales.where(F.col("order_id").isNotNull())
         .groupBy("order_id", *fields)
         .agg(F.count("*").alias("copies"))
@@ -174,7 +176,7 @@ def run_etl(spark: SparkSession, extract_path: str, out_dir: str) -> None:
     The parsed extract is staged as Parquet once, so that each output reads only the
     columns it needs instead of parsing the text again.
     """
-    parsed = split_product_name(parse_dates(rename_sales(read_sales_csv(spark, extract_path))))
+    parsed = parse_dates(rename_sales(read_sales_csv(spark, extract_path)))
     write_table(parsed, f"{out_dir}/staged/sales", "parquet")
     sales = read_table(spark, f"{out_dir}/staged/sales")
 

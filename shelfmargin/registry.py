@@ -86,19 +86,13 @@ def _companions(function: Callable, *arguments) -> Query:
     )
 
 
-def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.split_product_name(testbed.sales_extract(spark, sf_dir))
-
-
-def _keyed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = cached(_sales(spark, sf_dir))
+def _keyed(sales: DataFrame) -> DataFrame:
     return etl.attach_product(sales, etl.product_table(sales))
 
 
 def _star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = cached(_sales(spark, sf_dir))
-    keyed = etl.attach_product(sales, etl.product_table(sales))
-    return etl.order_table(etl.attach_location(keyed, etl.location_table(sales)))
+    sales = testbed.sales_extract(spark, sf_dir)
+    return etl.order_table(etl.attach_location(_keyed(sales), etl.location_table(sales)))
 
 
 def _split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +103,10 @@ def _split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.product_catalog(_keyed_sales(spark, sf_dir))
+    sales = testbed.sales_extract(spark, sf_dir)
+    return etl.product_catalog(
+        _keyed(cached(sales.select(*etl.PRODUCT_KEY, "ori_product_id").distinct()))
+    )
 
 
 def _catalog_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +124,7 @@ def _catalog_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.order_recap(_keyed_sales(spark, sf_dir), LINE_ORDER)
+    return etl.order_recap(_keyed(testbed.sales_extract(spark, sf_dir)), LINE_ORDER)
 
 
 def _recap_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +157,9 @@ def _delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # star tables and documents
-    "dim_customer": lambda s, d: etl.customer_table(_sales(s, d)),
-    "dim_product": lambda s, d: etl.product_table(_sales(s, d)),
-    "dim_location": lambda s, d: etl.location_table(_sales(s, d)),
+    "dim_customer": lambda s, d: etl.customer_table(testbed.sales_extract(s, d)),
+    "dim_product": lambda s, d: etl.product_table(testbed.sales_extract(s, d)),
+    "dim_location": lambda s, d: etl.location_table(testbed.sales_extract(s, d)),
     "star_orders": _star_orders,
     "split_product_name": _split_names,
     "product_catalog": _catalog_documents,
