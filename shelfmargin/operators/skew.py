@@ -1,15 +1,17 @@
-"""Joins and groups that survive one key holding a large share of all rows.
+"""Grouping and joining when one key may hold a large share of all rows.
 
 A key is hot when it has more than ``max(floor, rows / max_keys)`` rows. By counting,
 fewer than ``max_keys`` keys can be hot, so the list of hot keys has a fixed size bound
-whatever the data look like, and every key outside it is small.
+whatever the data look like, and every other key is small enough for one task. Operators
+treat the two kinds apart and unite the results. When no key is hot, adaptive execution
+sees the empty list and drops the hot branch before it reads anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmargin.session import cached
@@ -20,19 +22,13 @@ COPIES_PER_BLOCK = 1_000
 
 
 def hot_keys(
-    rows: DataFrame,
-    key: str,
-    floor: int = HOT_ROWS,
-    max_keys: int = MAX_HOT_KEYS,
-    copies: str | None = None,
+    rows: DataFrame, key: str, floor: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
 ) -> DataFrame:
     """``key, slices``: hot keys and the number of slices that make each slice small.
 
-    ``copies`` names a column that says how many equal rows a row stands for. The list is
-    small and both sides of a join read it, so it is kept.
+    The list is small and several branches read it, so it is kept.
     """
-    size = F.sum(copies) if copies else F.count("*")
-    counts = rows.groupBy(key).agg(size.alias("key_rows"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("key_rows"))
     total = counts.agg(F.sum("key_rows")).scalar()
     limit = F.greatest(F.lit(float(floor)), total / F.lit(float(max_keys)))
     return cached(
@@ -42,63 +38,88 @@ def hot_keys(
     )
 
 
-def _slice_numbers(df: DataFrame) -> DataFrame:
+def cold_rows(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows whose key fits one task."""
+    return rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+
+
+def hot_rows(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows of the hot keys, with the ``slices`` of their key."""
+    return rows.join(F.broadcast(hot), key)
+
+
+def _every_slice(sliced: DataFrame, name: str) -> DataFrame:
+    """Each row once per slice of its key."""
     numbers = F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)
-    return df.withColumn("slice", F.explode(numbers)).drop("slices")
+    return sliced.withColumn(name, F.explode(numbers)).drop("slices")
 
 
-def join_sliced(
-    rows: DataFrame, few: DataFrame, key: str, spread: Sequence[str], hot: DataFrame
-) -> DataFrame:
-    """Inner join of ``rows`` with ``few`` rows per ``key``.
+def join_by_key(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``few`` rows per key, plus a ``copies`` count.
 
-    Rows of a hot key are spread over its slices by a hash of the ``spread`` columns, and
-    the ``few`` side is repeated once per slice; all other keys have the single slice 0.
+    Equal rows of a hot key are folded into one with their count, then spread over the
+    slices of the key by a hash, and the ``few`` rows of that key are repeated once per
+    slice. All other rows join as they are and count as one copy.
     """
-    slice_no = F.coalesce(
-        F.pmod(F.xxhash64(*spread), F.col("slices")).cast("int"), F.lit(0)
-    )
-    left = (
-        rows.join(F.broadcast(hot), key, "left").withColumn("slice", slice_no).drop("slices")
+    cold = cold_rows(rows, key, hot).withColumn("copies", F.lit(1).cast("long")).join(few, key)
+    folded = (
+        hot_rows(rows, key, hot)
+        .groupBy(*rows.columns, "slices")
+        .agg(F.count("*").alias("copies"))
     )
-    right = _slice_numbers(few.join(F.broadcast(hot), key, "left"))
-    return left.join(right, [key, "slice"]).drop("slice")
+    slice_no = F.pmod(F.xxhash64(*rows.columns), F.col("slices")).cast("int")
+    left = folded.withColumn("slice", slice_no).drop("slices")
+    right = _every_slice(hot_rows(few, key, hot), "slice")
+    return cold.unionByName(left.join(right, [key, "slice"]).drop("slice"))
 
 
 def collect_in_parts(
-    counted: DataFrame, key: str, fields: Sequence[str], name: str, hot: DataFrame
+    rows: DataFrame,
+    key: str,
+    fields: Sequence[str],
+    name: str,
+    hot: DataFrame,
+    heads: Sequence[Column] = (),
 ) -> DataFrame:
-    """``key, part, name``: an array of the ``fields`` structs of each key, sorted.
+    """``key, part, name`` and the ``heads`` aggregates: the rows of each key as an array.
 
-    ``counted`` has its equal rows folded into one with a ``copies`` count. A key outside
-    ``hot`` is one part. A hot key is several parts that together hold every row, so no task
-    builds an unbounded array; copies are dealt out in blocks, which spreads a large group of
-    equal rows as well.
+    The array holds structs of ``fields`` in sorted order. A key outside ``hot`` is part 0
+    and takes one shuffle. A hot key is several parts that together hold every row, each
+    with the heads of the whole key, so no task builds an unbounded array. Equal rows of a
+    hot key are counted first and dealt out in blocks, which spreads copies as well.
     """
-    last_block = F.floor((F.col("copies") - 1) / COPIES_PER_BLOCK).cast("long")
-    blocks = (
-        counted.join(F.broadcast(hot), key, "left")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+    cold = (
+        cold_rows(rows, key, hot)
+        .groupBy(key)
+        .agg(
+            F.lit(0).alias("part"),
+            F.array_sort(F.collect_list(F.struct(*fields))).alias(name),
+            *heads,
+        )
+    )
+    large = hot_rows(rows, key, hot)
+    block_count = F.ceil(F.col("copies") / COPIES_PER_BLOCK).cast("long")
+    block_size = F.least(
+        F.lit(COPIES_PER_BLOCK), F.col("copies") - F.col("block") * COPIES_PER_BLOCK
+    )
+    parts = (
+        large.groupBy(key, "slices", *fields)
+        .agg(F.count("*").alias("copies"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_count - 1)))
         .select(
             key,
-            F.coalesce(
-                F.pmod(F.xxhash64(*fields, "block"), F.col("slices")).cast("int"), F.lit(0)
-            ).alias("part"),
-            F.array_repeat(
-                F.struct(*fields),
-                F.least(
-                    F.lit(COPIES_PER_BLOCK), F.col("copies") - F.col("block") * COPIES_PER_BLOCK
-                ).cast("int"),
-            ).alias("items"),
+            F.pmod(F.xxhash64(*fields, "block"), F.col("slices")).cast("int").alias("part"),
+            F.array_repeat(F.struct(*fields), block_size.cast("int")).alias("items"),
         )
+        .groupBy(key, "part")
+        .agg(F.array_sort(F.flatten(F.collect_list("items"))).alias(name))
     )
-    return blocks.groupBy(key, "part").agg(
-        F.array_sort(F.flatten(F.collect_list("items"))).alias(name)
-    )
+    if heads:
+        of_key = hot_rows(large.drop("slices").groupBy(key).agg(*heads), key, hot)
+        parts = parts.join(_every_slice(of_key, "part"), [key, "part"])
+    return cold.unionByName(parts)
 
 
 def repeat_per_part(few: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Repeat rows of ``few`` once for every part ``collect_in_parts`` may make."""
-    return _slice_numbers(few.join(F.broadcast(hot), key, "left")).withColumnRenamed(
-        "slice", "part"
-    )
+    return _every_slice(few.join(F.broadcast(hot), key, "left"), "part")

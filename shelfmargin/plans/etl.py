@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.dates import date_text, strict_date
-from shelfmargin.functions.money import from_units, rounded, units
+from shelfmargin.functions.money import exact_sum, rounded
 from shelfmargin.functions.names import attribute_map, padded_key, split_name
 from shelfmargin.operators.numbering import number_rows
 from shelfmargin.operators.skew import HOT_ROWS, collect_in_parts, hot_keys, repeat_per_part
@@ -18,6 +18,7 @@ from shelfmargin.sources.files import read_sales_csv, read_table, rename_sales,
 from shelfmargin.sources.testbed import ORDER_COLUMNS
 
 PRODUCT_KEY = ("product_name", "category", "sub_category")
+MAX_LARGE_DOCUMENTS = 1_000_000
 LOCATION_KEY = ("city", "state", "country", "region", "market", "postal_code")
 
 
@@ -89,8 +90,8 @@ def product_catalog(sales: DataFrame, items_per_part: int = HOT_ROWS) -> DataFra
     listed = cached(sales.select("product_id", *PRODUCT_KEY, "ori_product_id").distinct())
     heads = listed.select("product_id", *PRODUCT_KEY).distinct()
     heads = split_product_name(heads).drop("product_name").distinct()
-    ids = listed.select("product_id", "ori_product_id").distinct().withColumn("copies", F.lit(1))
-    hot = hot_keys(ids, "product_id", floor=items_per_part)
+    ids = listed.select("product_id", "ori_product_id").distinct()
+    hot = hot_keys(ids, "product_id", floor=items_per_part, max_keys=MAX_LARGE_DOCUMENTS)
     lists = collect_in_parts(ids, "product_id", ["ori_product_id"], "ids", hot)
     return (
         repeat_per_part(heads, "product_id", hot)
@@ -118,28 +119,21 @@ def order_recap(
     also sorts ``products``. ``part`` is 0 except for an order with more than
     ``items_per_part`` lines; its further products follow in documents with the same head.
     """
+    sales = sales.where(F.col("order_id").isNotNull())
     item_fields = ("product_id", "quantity", "sales", "profit", "discount")
-    head_fields = ("order_date", "customer_id", "ship_mode", "ship_date")
-    fields = list(dict.fromkeys([*line_order, *item_fields, *head_fields, "shipping_cost"]))
-    lines = cached(
-        sales.where(F.col("order_id").isNotNull())
-        .groupBy("order_id", *fields)
-        .agg(F.count("*").alias("copies"))
-    )
-    hot = hot_keys(lines, "order_id", floor=items_per_part, copies="copies")
-
-    def total(measure: str, digits: int) -> Column:
-        whole = F.sum(units(measure, digits) * F.col("copies"))
-        return rounded(from_units(whole, digits), 3).alias(f"total_{measure}")
-
-    heads = lines.groupBy("order_id").agg(
-        F.min(F.struct(*line_order, *head_fields)).alias("first"),
-        total("profit", 4),
-        total("sales", 4),
-        total("shipping_cost", 6),
-    )
-    lists = collect_in_parts(
-        lines, "order_id", list(dict.fromkeys([*line_order, *item_fields])), "lines", hot
+    first_line = F.struct(*line_order, "order_date", "customer_id", "ship_mode", "ship_date")
+    docs = collect_in_parts(
+        sales,
+        "order_id",
+        list(dict.fromkeys([*line_order, *item_fields])),
+        "lines",
+        hot_keys(sales, "order_id", floor=items_per_part, max_keys=MAX_LARGE_DOCUMENTS),
+        heads=[
+            F.min(first_line).alias("first"),
+            rounded(exact_sum("profit"), 3).alias("total_profit"),
+            rounded(exact_sum("sales"), 3).alias("total_sales"),
+            rounded(exact_sum("shipping_cost", 6), 3).alias("total_shipping_cost"),
+        ],
     )
 
     def item(line: Column) -> Column:
@@ -149,24 +143,20 @@ def order_recap(
             *[line[name].cast("double").alias(name) for name in item_fields[2:]],
         )
 
-    return (
-        repeat_per_part(heads, "order_id", hot)
-        .join(lists, ["order_id", "part"])
-        .select(
-            "order_id",
-            "part",
-            date_text(F.col("first.order_date")).alias("order_date"),
-            F.col("first.customer_id").alias("customer_id"),
-            F.transform("lines", item).alias("products"),
-            "total_profit",
-            "total_sales",
-            F.struct(
-                F.col("first.ship_mode").alias("ship_mode"),
-                date_text(F.col("first.ship_date")).alias("ship_date"),
-                F.datediff("first.ship_date", "first.order_date").alias("delay"),
-                F.col("total_shipping_cost").alias("shipping_cost"),
-            ).alias("shipping"),
-        )
+    return docs.select(
+        "order_id",
+        "part",
+        date_text(F.col("first.order_date")).alias("order_date"),
+        F.col("first.customer_id").alias("customer_id"),
+        F.transform("lines", item).alias("products"),
+        "total_profit",
+        "total_sales",
+        F.struct(
+            F.col("first.ship_mode").alias("ship_mode"),
+            date_text(F.col("first.ship_date")).alias("ship_date"),
+            F.datediff("first.ship_date", "first.order_date").alias("delay"),
+            F.col("total_shipping_cost").alias("shipping_cost"),
+        ).alias("shipping"),
     )
 
 

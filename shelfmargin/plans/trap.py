@@ -1,63 +1,64 @@
 """Products that ride on large baskets, and what is bought with them.
 
-``frequency`` counts order lines here. Lines are first counted per order and product, so
-an order with the same product many times stays one row, and two products of an order are
-never multiplied out line by line.
+``frequency`` counts order lines here. Lines of an order are never multiplied with each
+other: an order's lines meet its total, or the few anchor counts of that order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.money import exact_sum, from_units, units
-from shelfmargin.operators.skew import HOT_ROWS, hot_keys, join_sliced
+from shelfmargin.operators.skew import HOT_ROWS, cold_rows, hot_keys, hot_rows, join_by_key
 
 
 def order_totals(orders: DataFrame) -> DataFrame:
     return orders.groupBy("order_id").agg(exact_sum("sales").alias("order_total"))
 
 
-def _baskets(orders: DataFrame) -> DataFrame:
-    """One row per order and product."""
-    return (
-        orders.where(F.col("order_id").isNotNull())
-        .groupBy("order_id", "product_id")
-        .agg(F.count("*").alias("line_count"), F.sum(units("sales")).alias("sales_units"))
-    )
-
+def _lines_with_totals(orders: DataFrame, floor: int) -> DataFrame:
+    """``order_id, product_id, order_units``: each line with the total of its order.
 
-def _with_totals(orders: DataFrame, hot_rows: int) -> DataFrame:
-    baskets = _baskets(orders)
-    totals = baskets.groupBy("order_id").agg(F.sum("sales_units").alias("order_units"))
-    hot = hot_keys(baskets, "order_id", floor=hot_rows)
-    return join_sliced(
-        baskets.select("order_id", "product_id", "line_count"),
-        totals,
-        "order_id",
-        ["product_id"],
-        hot,
+    A usual order is summed by a window in one shuffle. The totals of hot orders are few, so
+    they go to the lines instead of the lines to one task.
+    """
+    lines = orders.where(F.col("order_id").isNotNull()).select(
+        "order_id", "product_id", units("sales").alias("sales_units")
+    )
+    hot = hot_keys(orders.select("order_id"), "order_id", floor=floor)
+    in_order = Window.partitionBy("order_id")
+    cold = cold_rows(lines, "order_id", hot).withColumn(
+        "order_units", F.sum("sales_units").over(in_order)
     )
+    large = hot_rows(lines, "order_id", hot).drop("slices")
+    totals = large.groupBy("order_id").agg(F.sum("sales_units").alias("order_units"))
+    return cold.unionByName(large.join(F.broadcast(totals), "order_id")).drop("sales_units")
 
 
-def basket_totals(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each product of each order with the total of the whole order."""
-    return _with_totals(orders, hot_rows).select(
-        "order_id",
-        "product_id",
-        "line_count",
-        from_units(F.col("order_units")).alias("order_total"),
+def basket_totals(orders: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
+    """Each product of each order with its line count and the total of the whole order."""
+    return (
+        _lines_with_totals(orders, floor)
+        .groupBy("order_id", "product_id", "order_units")
+        .agg(F.count("*").alias("line_count"))
+        .select(
+            "order_id",
+            "product_id",
+            "line_count",
+            from_units(F.col("order_units")).alias("order_total"),
+        )
     )
 
 
-def trap_products(orders: DataFrame, product: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def trap_products(orders: DataFrame, product: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
     """Products by line count times mean basket value, highest first."""
     facts = (
-        _with_totals(orders, hot_rows)
+        _lines_with_totals(orders, floor)
         .groupBy("product_id")
         .agg(
-            F.sum("line_count").alias("frequency"),
-            from_units(F.sum(F.col("line_count") * F.col("order_units"))).alias("value_sum"),
+            F.count("*").alias("frequency"),
+            from_units(F.sum("order_units")).alias("value_sum"),
         )
     )
     mean = F.col("value_sum") / F.col("frequency")
@@ -79,22 +80,22 @@ def top_frequency(traps: DataFrame, count: int = 20) -> DataFrame:
 
 
 def _companions(
-    orders: DataFrame, anchored: DataFrame, product: DataFrame, hot_rows: int
+    orders: DataFrame, anchored: DataFrame, product: DataFrame, floor: int
 ) -> DataFrame:
     """Line pairs per anchor and companion; ``anchored`` has one row per order and anchor."""
-    baskets = _baskets(orders).select("order_id", "product_id", "line_count")
-    hot = hot_keys(baskets, "order_id", floor=hot_rows)
-    together = join_sliced(baskets, anchored, "order_id", ["product_id"], hot)
+    lines = orders.select("order_id", "product_id")
+    hot = hot_keys(orders.select("order_id"), "order_id", floor=floor)
+    together = join_by_key(lines, anchored, "order_id", hot)
     counted = (
         together.where(F.col("product_id") != F.col("anchor_id"))
         .groupBy("anchor_id", "product_id")
-        .agg(F.sum(F.col("line_count") * F.col("anchor_lines")).alias("frequency"))
+        .agg(F.sum(F.col("copies") * F.col("anchor_lines")).alias("frequency"))
     )
     return counted.join(product.select("product_id", "product_name"), "product_id", "left")
 
 
 def bought_together(
-    orders: DataFrame, product: DataFrame, anchor, hot_rows: int = HOT_ROWS
+    orders: DataFrame, product: DataFrame, anchor, floor: int = HOT_ROWS
 ) -> DataFrame:
     """Products in the same orders as ``anchor``, by number of line pairs."""
     anchored = (
@@ -103,14 +104,14 @@ def bought_together(
         .agg(F.count("*").alias("anchor_lines"))
     )
     return (
-        _companions(orders, anchored, product, hot_rows)
+        _companions(orders, anchored, product, floor)
         .select("product_id", "product_name", "frequency")
         .orderBy(F.desc("frequency"), "product_id")
     )
 
 
 def bought_together_top(
-    orders: DataFrame, product: DataFrame, count: int = 20, hot_rows: int = HOT_ROWS
+    orders: DataFrame, product: DataFrame, count: int = 20, floor: int = HOT_ROWS
 ) -> DataFrame:
     """Companions of each of the ``count`` most frequent products.
 
@@ -125,7 +126,7 @@ def bought_together_top(
         .agg(F.count("*").alias("anchor_lines"))
     )
     return (
-        _companions(orders, anchored, product, hot_rows)
+        _companions(orders, anchored, product, floor)
         .select("anchor_id", "product_id", "product_name", "frequency")
         .orderBy("anchor_id", F.desc("frequency"), "product_id")
     )

@@ -13,7 +13,7 @@ from shelfmargin.operators.facets import apply_facets, facet_options, single_cho
 from shelfmargin.operators.numbering import number_rows
 from shelfmargin.operators.quantiles import exact_quantiles
 from shelfmargin.operators.sampling import hash_sample
-from shelfmargin.operators.skew import collect_in_parts, hot_keys, join_sliced, repeat_per_part
+from shelfmargin.operators.skew import collect_in_parts, hot_keys, join_by_key, repeat_per_part
 
 
 @pytest.fixture(scope="module")
@@ -31,20 +31,20 @@ def test_hot_keys_are_few_and_sliced(skewed):
 
 
 @pytest.mark.parametrize("floor", [10, 100_000])
-def test_join_sliced_equals_plain_join(skewed, floor):
+def test_join_by_key_equals_plain_join(skewed, floor):
     few = skewed.groupBy("key").agg(F.sum("item").alias("total"))
-    got = join_sliced(skewed, few, "key", ["item"], hot_keys(skewed, "key", floor=floor))
-    plain = skewed.join(few, "key")
-    assert sorted(map(tuple, got.select("key", "item", "total").collect())) == sorted(
-        map(tuple, plain.select("key", "item", "total").collect())
-    )
+    got = Counter()
+    for row in join_by_key(skewed, few, "key", hot_keys(skewed, "key", floor=floor)).collect():
+        got[row["key"], row["item"], row["total"]] += row["copies"]
+    plain = skewed.join(few, "key").select("key", "item", "total")
+    assert got == Counter(map(tuple, plain.collect()))
 
 
 @pytest.mark.parametrize("floor", [20, 100_000])
 def test_parts_hold_every_row(skewed, floor):
     hot = hot_keys(skewed, "key", floor=floor)
-    counted = skewed.groupBy("key", "item").agg(F.count("*").alias("copies"))
-    parts = collect_in_parts(counted, "key", ["item"], "items", hot).collect()
+    heads = [F.sum("item").alias("total")]
+    parts = collect_in_parts(skewed, "key", ["item"], "items", hot, heads).collect()
     found = defaultdict(Counter)
     for row in parts:
         items = [item["item"] for item in row["items"]]
@@ -54,6 +54,7 @@ def test_parts_hold_every_row(skewed, floor):
     for key, item in skewed.collect():
         expected[key][item] += 1
     assert found == expected
+    assert all(row["total"] == sum(expected[row["key"]].elements()) for row in parts)
     hot_parts = [row["part"] for row in parts if row["key"] == 0]
     assert len(set(hot_parts)) == len(hot_parts)
     assert (len(hot_parts) > 1) == (floor == 20)
@@ -62,9 +63,9 @@ def test_parts_hold_every_row(skewed, floor):
 
 
 def test_a_large_group_of_copies_is_split_between_parts(spark):
-    counted = spark.createDataFrame([(1, "x", 50_500)], "key int, item string, copies bigint")
-    hot = hot_keys(counted, "key", floor=1_000, copies="copies")
-    parts = collect_in_parts(counted, "key", ["item"], "items", hot)
+    copies = spark.range(50_500).select(F.lit(1).alias("key"), F.lit("x").alias("item"))
+    hot = hot_keys(copies, "key", floor=1_000)
+    parts = collect_in_parts(copies, "key", ["item"], "items", hot)
     sizes = [row[0] for row in parts.select(F.size("items")).collect()]
     assert sum(sizes) == 50_500 and len(sizes) > 10 and max(sizes) < 10_000
 
