@@ -15,7 +15,6 @@ from shelfmargin.registry import QUERIES
 from shelfmargin.session import build_session
 
 HEADLINES = (
-    "dim_product",
     "star_orders",
     "product_catalog",
     "order_recap",
@@ -23,21 +22,14 @@ HEADLINES = (
     "facet_options",
     "discount_kpis",
     "product_summary",
-    "discount_range_summary",
-    "monthly_trend",
-    "discount_correlation",
     "discount_insights",
     "discount_conclusions",
     "high_sales_low_profit",
     "scatter_sample",
     "hidden_segments",
-    "hidden_by_total_profit",
     "hidden_kpis",
-    "hidden_region_mix",
     "top_region_category",
-    "hidden_type_pivot",
     "hidden_drilldown",
-    "hist_avg_profit",
     "trap_products",
     "bought_together",
     "bought_together_top",

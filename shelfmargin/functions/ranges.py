@@ -30,7 +30,7 @@ def discount_range_label(number: Column) -> Column:
 
 def discount_ranges(spark: SparkSession) -> DataFrame:
     """All ranges, used or not."""
-    return spark.createDataFrame(
-        [(number, label) for number, (label, _) in enumerate(DISCOUNT_RANGES, start=1)],
-        "range_no int, discount_range string",
+    numbers = spark.range(1, len(DISCOUNT_RANGES) + 1, 1, 1).select(
+        F.col("id").cast("int").alias("range_no")
     )
+    return numbers.withColumn("discount_range", discount_range_label(F.col("range_no")))

@@ -31,7 +31,8 @@ def facet_options(
     """``facet, option``: distinct non-null values per facet, in order.
 
     ``scopes[facet] = (parent, selected)`` limits the options of ``facet`` to rows whose
-    ``parent`` is among the selected values. All facets come from one pass over the data.
+    ``parent`` is among the selected values. All facets come from one pass over the data,
+    which first folds the rows into the combinations that occur.
     """
     scopes = scopes or {}
 
@@ -42,7 +43,11 @@ def facet_options(
             value = F.when(F.col(parent).isin(*selected), value)
         return F.struct(F.lit(facet).alias("facet"), value.alias("option"))
 
-    entries = df.select(F.explode(F.array(*[entry(facet) for facet in facets])).alias("entry"))
+    used = list(dict.fromkeys([*facets, *[parent for parent, _ in scopes.values()]]))
+    combinations = df.select(*used).distinct()
+    entries = combinations.select(
+        F.explode(F.array(*[entry(facet) for facet in facets])).alias("entry")
+    )
     return (
         entries.select("entry.facet", "entry.option")
         .where(F.col("option").isNotNull())

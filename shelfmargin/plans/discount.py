@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from shelfmargin.functions.choice import key_of_max, key_of_min
 from shelfmargin.functions.dates import lenient_date, month_bucket
 from shelfmargin.functions.labels import dollars, percent_text, plain
-from shelfmargin.functions.money import exact_mean, exact_sum, percent_or_zero, ratio, rounded
+from shelfmargin.functions.money import (
+    exact_mean,
+    exact_sum,
+    from_units,
+    percent_or_zero,
+    ratio,
+    rounded,
+    units,
+)
 from shelfmargin.functions.ranges import (
     discount_range_label,
     discount_range_no,
@@ -272,17 +280,25 @@ def _findings(one_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
 def insights(lines: DataFrame) -> DataFrame:
     """Best category, product and range, worst product, most discounted category.
 
-    One pass over the lines with grouping sets, then one row picks every winner.
+    One pass folds the lines into product, category and range; grouping sets over that small
+    result give the three groupings, and one row picks every winner.
     """
-    sets = lines.groupingSets(
+    folded = lines.groupBy("category", "product_name", "range_no").agg(
+        F.sum(units("profit")).alias("profit_units"),
+        F.count("profit").alias("profits"),
+        F.sum(units("discount")).alias("discount_units"),
+        F.count("discount").alias("discounts"),
+    )
+    profit = from_units(F.sum("profit_units"))
+    sets = folded.groupingSets(
         [["category"], ["product_name"], ["range_no"]], "category", "product_name", "range_no"
     ).agg(
         F.grouping("category").alias("not_category"),
         F.grouping("product_name").alias("not_product"),
         F.grouping("range_no").alias("not_range"),
-        exact_sum("profit").alias("profit"),
-        exact_mean("profit").alias("avg_profit"),
-        _mean_discount().alias("avg_discount"),
+        profit.alias("profit"),
+        ratio(profit, F.sum("profits")).alias("avg_profit"),
+        (ratio(from_units(F.sum("discount_units")), F.sum("discounts")) * 100).alias("avg_discount"),
     )
 
     def category(value: str) -> Column:
