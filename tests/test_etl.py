@@ -159,3 +159,13 @@ def test_testbed_keys_have_partners(spark, sf_dir):
 
     narrow = testbed.order_lines(spark, sf_dir, ("order_id", "product_id", "sales"))
     assert narrow.count() == testbed.order_lines(spark, sf_dir).count()
+
+
+def test_small_scans_are_spread_and_large_ones_left_alone(spark, sf_dir):
+    cores = spark.sparkContext.defaultParallelism
+    table = files.read_table(spark, f"{sf_dir}/lineitem.parquet")
+    spread = files.spread_small_scan(table, "l_orderkey", "l_partkey")
+    assert "Exchange" in spread._jdf.queryExecution().executedPlan().toString()
+    assert spread.count() == table.count()
+    wide = spark.range(0, 100, 1, cores)
+    assert files.spread_small_scan(wide, "id") is wide
