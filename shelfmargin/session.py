@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +29,44 @@ def build_session(app: str = "shelfmargin", master: str | None = None, **setting
 
 
 def cached(df: DataFrame) -> DataFrame:
-    """Keep a result that several outputs read; lost blocks are rebuilt from lineage."""
+    """Keep a result that several outputs read; lost blocks are rebuilt from lineage.
+
+    The caller owns the result and calls ``unpersist()``, or uses ``kept``.
+    """
     return df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` cached for the length of a ``with`` block; act on the results inside it."""
+    held = cached(df)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors reach.
+
+    ``spark.checkpoint.dir`` names it; where that is unset, as in tests, it is a folder of
+    the warehouse.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no other run uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a retry reads the same rows."""
+    """Materialise ``df`` in the shared folder, so a retry reads the same rows.
+
+    The files go when the result is no longer referenced (``cleanCheckpoints``).
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="shelfmargin-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
