@@ -12,16 +12,19 @@ the number of shared values is hypergeometric and ``m`` lies ``MARGIN`` standard
 below its mean: a pair exactly at the threshold is missed with a chance below 1e-6, a closer
 one with far less.
 
-Lists do not emit all pairs. First every member is compared with the least member of its
-list, which joins a group of near copies of any size at linear cost. Only where members of a
-list are then still in different components, these (and no pairs inside one) are compared.
+Lists do not emit all pairs. First every member is compared with a leader of its list, one of
+``LEADERS`` that a group of copies shares, which joins near copies of any number at linear cost.
+Where members of a list are then still in different components, they enter exact lists: by the
+rarest quarter of their whole shingle sets, of which two near duplicates share one. A document
+with a quarter of shingles of its own meets nobody there, however common the rest of its text.
+Only members of different components are then compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ WORDS = 5
 SIMILARITY = 75  # percent
 SKETCH = 64
 MARGIN = 6.0
+LEADERS = 4
 BUCKET_BITS = 16
+EXACT_BITS = 20
 
 
 def least_overlap(shingles: int, size: int = SKETCH, percent: int = SIMILARITY) -> int:
@@ -50,6 +55,11 @@ def least_overlap(shingles: int, size: int = SKETCH, percent: int = SIMILARITY)
     return max(least, 1)
 
 
+def exact_overlap(shingles: int) -> int:
+    """Shingles that a whole set shares with any near duplicate's."""
+    return max(-(-SIMILARITY * shingles // 100), 1)
+
+
 def may_be_near(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
     """Whether the union sketch of two documents allows their similarity to reach the threshold."""
     if 100 * min(na, nb) < SIMILARITY * max(na, nb):
@@ -80,48 +90,57 @@ def sketches(docs: DataFrame, text: str, keep: tuple[str, ...], width: int = WOR
     return map_batches(docs.select(*keep, text), rows, schema)
 
 
-def _bucket_counts(classes: DataFrame) -> np.ndarray:
-    """How many retained values fall into each of 2**16 buckets: 512 KB whatever the input."""
+def _buckets(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many values fall into each of 2**bits buckets: an array of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for sketch in batch.column(0).to_pylist():
-                values = np.frombuffer(sketch, np.uint64)
-                np.add.at(total, (values & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), 1)
+            for row in batch.column(0).to_pylist():
+                np.add.at(total, _buckets(np.frombuffer(row, np.uint64), bits), 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "held"])
 
-    held = ready(classes.select("sketch")).mapInArrow(count, "bucket long, held long")
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    held = ready(sets).mapInArrow(count, "bucket long, held long")
+    counts = np.zeros(1 << bits, np.int64)
     for row in held.groupBy("bucket").agg(F.sum("held").alias("held")).toLocalIterator():
         counts[row.bucket] = row.held
     return counts
 
 
-def list_entries(classes: DataFrame) -> DataFrame:
-    """``value, class``: the rarest values of each sketch, as many as the overlap bound asks for.
+def list_entries(
+    sets: DataFrame, values: str, overlap: Callable[[int], int], keep: tuple[str, ...] = (), bits: int = BUCKET_BITS
+) -> DataFrame:
+    """``value, left, class`` and ``keep``: the rarest values of each row's binary ``values``.
+
+    ``left`` is how many values of the row are not before this one in the common order.
 
-    Values are ordered by how full their bucket is. Any common order gives the same links;
-    this one keeps frequent values out of the lists.
+    ``overlap(n_shingles)`` is the number of values shared with any near duplicate; the rarest
+    ``size - overlap + 1`` are listed. Values are ordered by how full their bucket is. Any common
+    order gives the same links; this one keeps frequent values out of the lists.
     """
-    counts = classes.sparkSession.sparkContext.broadcast(_bucket_counts(classes))
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets.select(values), bits))
+    kinds = dict(sets.dtypes)
 
     def entries(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         held = counts.value
-        values, owners = [], []
-        for row, (size, sketch) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            found = np.frombuffer(sketch, np.uint64)
-            order = np.lexsort((found, held[(found & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)]))
-            picked = found[order[: len(found) - least_overlap(size) + 1]]
-            values.append(picked.view(np.int64))
-            owners.append(np.full(len(picked), row, np.int32))
-        yield [
-            pa.array(np.concatenate(values)),
-            batch.column(0).take(pa.array(np.concatenate(owners))),
-        ]
+        picked, owners, left = [], [], []
+        for row, (size, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            found = np.frombuffer(packed, np.uint64)
+            order = np.lexsort((found, held[_buckets(found, bits)]))
+            chosen = found[order[: len(found) - overlap(size) + 1]]
+            picked.append(chosen.view(np.int64))
+            owners.append(np.full(len(chosen), row, np.int32))
+            left.append(np.arange(len(found), len(found) - len(chosen), -1))
+        index = pa.array(np.concatenate(owners))
+        yield [pa.array(np.concatenate(picked)), pa.array(np.concatenate(left)), *[batch.column(k).take(index) for k in range(2, 3 + len(keep))]]
 
-    return map_batches(classes.select("class", "n_shingles", "sketch"), entries, "value long, class binary")
+    schema = ", ".join(["value long, left long, class binary", *[f"{name} {kinds[name]}" for name in keep]])
+    return map_batches(sets.select("n_shingles", values, "class", *keep), entries, schema)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,8 +166,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(fitting.select("a", "b", "sa", "sb", "na", "nb"), passing, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
+def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``class, members`` (sorted shingle hashes) of the classes in ``needed``."""
 
     def sets(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         data, offsets = utf8(batch.column(1))
@@ -156,6 +175,21 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
             found = [s.tobytes() for s in shingle_sets(*cut(data, offsets, first, last), width)]
             yield [batch.column(0).slice(first, last - first), pa.array(found, pa.binary())]
 
+    wanted = classes.join(needed, "class").select("class", "text_hash")
+    texts = (
+        docs.select(F.xxhash64(text).alias("text_hash"), text)
+        .join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
+        .groupBy("text_hash")
+        .agg(F.any_value(text).alias("whole"))
+    )
+    return checkpointed(
+        map_batches(texts.join(wanted, "text_hash").select("class", "whole"), sets, "class binary, members binary")
+    )
+
+
+def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold."""
+
     def near(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         fits = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -165,22 +199,19 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
         fits = pa.array(fits, pa.bool_())
         yield [batch.column(0).filter(fits), batch.column(1).filter(fits)]
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = classes.join(needed, "class").select("class", "text_hash")
-    texts = (
-        docs.select(F.xxhash64(text).alias("text_hash"), text)
-        .join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
-        .groupBy("text_hash")
-        .agg(F.any_value(text).alias("whole"))
-    )
-    whole = checkpointed(
-        map_batches(
-            texts.join(wanted, "text_hash").select("class", "whole"), sets, "class binary, members binary"
-        )
-    )
     side = [whole.select(F.col("class").alias(x), F.col("members").alias(f"m{x}")) for x in ("a", "b")]
     joined = pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "ma", "mb")
-    return map_batches(joined, near, "a binary, b binary")
+    return checkpointed(map_batches(joined, near, "a binary, b binary"))
+
+
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Rows of the lists whose members are in different components."""
+    lists = entries.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return entries.join(lists.where(F.col("low") < F.col("high")).select("value"), "value", "left_semi")
 
 
 def near_duplicates(
@@ -207,35 +238,50 @@ def near_duplicates(
             F.min("text_hash").alias("text_hash"),
         )
     )
-    entries = list_entries(classes)
-    lists = entries.groupBy("value").agg(F.min("class").alias("leader"), F.count("*").alias("members"))
-    shared = checkpointed(entries.join(lists.where(F.col("members") > 1), "value"))
-
+    entries = list_entries(classes, "sketch", least_overlap).drop("left")
+    leader = F.min(F.struct(F.xxhash64("class", F.pmod("value", F.lit(LEADERS))).alias("order"), "class"))
+    lists = entries.groupBy("value").agg(leader.alias("first"), F.count("*").alias("members"))
+    shared = checkpointed(
+        entries.join(
+            lists.where(F.col("members") > 1).select("value", F.col("first.class").alias("leader"), "members"), "value"
+        )
+    )
     stars = shared.where(F.col("class") != F.col("leader")).select(
-        F.col("leader").alias("a"), F.col("class").alias("b")
+        F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")
     ).distinct()
-    first = checkpointed(_confirmed(checkpointed(_estimated(stars, classes)), classes, source, "text", width))
-    grouped = components(first, "a", "b")
+    near_stars = checkpointed(_estimated(stars, classes))
+    first = _confirmed(near_stars, _whole_sets(_both_ends(near_stars), classes, source, "text", width))
+    grouped = checkpointed(components(first, "a", "b").withColumnRenamed("node", "class"))
 
-    placed = checkpointed(
-        shared.where(F.col("members") > 2)
-        .join(grouped.withColumnRenamed("node", "class"), "class", "left")
-        .select("value", "class", F.coalesce("component", "class").alias("component"))
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(grouped, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+    unsettled = checkpointed(
+        _mixed(placed(shared.where(F.col("members") > 2).select("value", "class"))).select("class").distinct()
+    )
+    whole = _whole_sets(unsettled, classes, source, "text", width)
+    exact = list_entries(
+        whole.withColumn("n_shingles", (F.octet_length("members") / 8).cast("long")), "members", exact_overlap,
+        ("n_shingles",), EXACT_BITS,
     )
-    mixed = placed.groupBy("value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where(F.col("low") < F.col("high")).select("value")
-    open_lists = placed.join(mixed, "value", "left_semi")
+    listed = _mixed(placed(checkpointed(exact)))
+    side = [
+        listed.select(
+            "value", F.col("class").alias(x), F.col("component").alias(f"c{x}"),
+            F.col("n_shingles").alias(f"n{x}"), F.col("left").alias(f"l{x}"),
+        )
+        for x in ("a", "b")
+    ]
+    # sets of these sizes must share 3/7 of their sum; a pair's first shared value shows whether they still can
+    needed = (F.col("na") + F.col("nb")) * SIMILARITY
     rest = (
-        open_lists.select("value", F.col("class").alias("a"), F.col("component").alias("ca"))
-        .join(open_lists.select("value", F.col("class").alias("b"), F.col("component").alias("cb")), "value")
+        side[0].join(side[1], "value")
         .where(F.col("ca") < F.col("cb"))
+        .where(F.least("la", "lb") * (100 + SIMILARITY) >= needed)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    second = _confirmed(
-        checkpointed(_estimated(rest.join(stars, ["a", "b"], "left_anti"), classes)), classes, source, "text", width
-    )
+    second = _confirmed(checkpointed(_estimated(rest.join(stars, ["a", "b"], "left_anti"), classes)), whole)
     links = checkpointed(first.unionAll(second).distinct())
 
     joined = components(links, "a", "b").withColumnRenamed("node", "class")
