@@ -26,6 +26,7 @@ from shelfmargin.session import checkpointed
 LIMIT = 3
 BUCKETS = 1 << 16
 SEED = "mix"
+SALTS = 32
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -89,6 +90,11 @@ def random_odds(doc_id: Column, chance: Column) -> Column:
     return odds / (1 + odds)
 
 
+def _salted(few: DataFrame) -> DataFrame:
+    """The few rows of each source once per salt, so that the rows of a hot source meet them in many tasks."""
+    return few.withColumn("few_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def mix(sizes: DataFrame) -> DataFrame:
     """``sizes`` (``doc_id, source, size``) with ``source_size, target, copies``.
 
@@ -98,7 +104,10 @@ def mix(sizes: DataFrame) -> DataFrame:
     """
     targets = source_targets(sizes)
     digits = F.length(F.bin("size")).cast("long")
-    classed = sizes.withColumn("size_class", digits)
+    classed = sizes.withColumn("size_class", digits).withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")
+    )
+    salt = F.col("salt") == F.col("few_salt")
     # one row per source and size class: at most 64 per source
     classes = classed.groupBy("source", "size_class").agg(F.sum("size").alias("class_size"))
     named = classes.withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("of")
@@ -120,7 +129,7 @@ def mix(sizes: DataFrame) -> DataFrame:
         )
     )
     same = F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size_class") == F.col("plan_class"))
-    ranked = classed.join(plan, same, "left").withColumn(
+    ranked = classed.join(_salted(plan), same & salt, "left").drop("few_salt").withColumn(
         "odds", F.when(F.col("chance") > 0, random_odds(F.col("doc_id"), F.col("chance")))
     )
     drawn = ranked.where(F.col("odds").isNotNull()).withColumn("bucket", F.floor(F.col("odds") * BUCKETS))
@@ -138,8 +147,8 @@ def mix(sizes: DataFrame) -> DataFrame:
         )
     )
     at_edge = drawn.join(
-        reached, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("bucket") == F.col("edge_bucket"))
-    )
+        _salted(reached), salt & F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("bucket") == F.col("edge_bucket"))
+    ).drop("few_salt")
     folded = at_edge.groupBy("source", "odds", "doc_id", "size", "need", "words_before").agg(
         (F.count("*") * F.col("size")).alias("words")
     )
@@ -167,7 +176,11 @@ def mix(sizes: DataFrame) -> DataFrame:
         | (place < F.col("edge_bucket"))
         | F.coalesce((place == F.col("edge_bucket")) & (F.struct("odds", "doc_id", "size") <= F.col("cut")), F.lit(False))
     )
-    rows = ranked.join(ends, F.col("source").eqNullSafe(F.col("edge_source")), "left").withColumn("taken", taken)
+    rows = (
+        ranked.join(_salted(ends), F.col("source").eqNullSafe(F.col("edge_source")) & salt, "left")
+        .drop("few_salt")
+        .withColumn("taken", taken)
+    )
     # the order stops at the first document that is too large; the largest that still fits fills the gap
     fill = (
         rows.where(F.col("odds").isNotNull() & ~F.col("taken") & (F.col("size") <= F.col("gap")))
@@ -176,14 +189,17 @@ def mix(sizes: DataFrame) -> DataFrame:
         .select(F.col("source").alias("fill_source"), "fill")
     )
     filling = F.coalesce(F.struct("size", "odds", "doc_id").eqNullSafe(F.col("fill")) & ~F.col("taken"), F.lit(False))
-    rows = rows.join(fill, F.col("source").eqNullSafe(F.col("fill_source")), "left").select(
+    rows = rows.join(_salted(fill), F.col("source").eqNullSafe(F.col("fill_source")) & salt, "left").select(
         "doc_id",
         "source",
         "size",
+        "salt",
         (F.coalesce("certain", F.lit(0).cast("long")) + F.when(F.col("taken") | filling, 1).otherwise(0)).cast("int").alias("copies"),
     )
     to = targets.withColumnRenamed("source", "target_source")
-    return rows.join(to, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    return rows.join(_salted(to), F.col("source").eqNullSafe(F.col("target_source")) & salt).drop(
+        "target_source", "salt", "few_salt"
+    )
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before, after = least[places - 1], least[places + REACH]
     found = np.flatnonzero((marks[places] < before) & (marks[places] <= after)) + 1
     spaces = np.append(np.flatnonzero(SPACE[data]), len(data))
-    return np.unique(spaces[np.searchsorted(spaces, found)])
+    ends = offsets[np.searchsorted(offsets, found - 1, "right")]
+    return np.unique(np.minimum(spaces[np.searchsorted(spaces, found)], ends))
 
 
 def chunk_rows(text: bytes) -> list[tuple[int, int]]:
