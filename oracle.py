@@ -63,13 +63,13 @@ ranges AS (
   FROM (VALUES (1, '0-10%'), (2, '10-20%'), (3, '20-30%'), (4, '30-40%'), (5, '40%+'))
        n(range_no, label) LEFT JOIN used_ranges USING (range_no)),
 related AS (
-  SELECT CASE WHEN isfinite(r) THEN round_even(r * 1000000, 0) / 1000000 END AS correlation
+  SELECT CASE WHEN isfinite(r) THEN r END AS value, CASE WHEN isfinite(r) THEN round_even(r * 1000000, 0) / 1000000 END AS correlation
   FROM (SELECT corr(cast(discount AS double), cast(profit AS double)) AS r FROM discount_base))"""
 )
 
-_IMPACT = """CASE WHEN correlation IS NULL THEN 'unreadable'
-    WHEN correlation < -0.3 THEN 'strong negative' WHEN correlation < -0.1 THEN 'weak negative'
-    WHEN correlation > 0.1 THEN 'positive' ELSE 'not significant' END"""
+_IMPACT = """CASE WHEN value IS NULL THEN 'unreadable'
+    WHEN value < -0.3 THEN 'strong negative' WHEN value < -0.1 THEN 'weak negative'
+    WHEN value > 0.1 THEN 'positive' ELSE 'not significant' END"""
 
 _HIDDEN_BASE = (
     _LINES
@@ -91,7 +91,7 @@ hidden_base AS (
 
 def _quantile(column: str, at: float) -> str:
     found = f"quantile_cont(cast({column} AS double), {at})"
-    return f"CASE WHEN abs({found}) < 1e8 THEN round_even({found} * 1e7, 0) / 1e7 ELSE {found} END"
+    return f"round_even({found} * 1e7, 0) / 1e7"
 
 
 def _metrics(where: str = "true") -> str:
@@ -316,7 +316,7 @@ ORACLE_SQL: dict[str, str] = {
       FROM discount_base GROUP BY month_year""",
     "discount_correlation": f"""WITH {_DISCOUNT}
       SELECT correlation, {_IMPACT} AS impact,
-             coalesce({_fixed('correlation', 3)}, 'n/a') AS correlation_text
+             coalesce({_fixed('value', 3)}, 'n/a') AS correlation_text
       FROM related""",
     "discount_insights": f"""WITH {_DISCOUNT},
       by_category AS (SELECT category, cast(sum(profit) AS double) AS profit,
@@ -343,7 +343,7 @@ ORACLE_SQL: dict[str, str] = {
           THEN 'moderate discount' ELSE 'high volume' END AS word FROM best)
       {_HEADER}
         SELECT 1 AS rank, 'discount_impact' AS finding, {_IMPACT} AS subject, correlation AS value,
-               coalesce({_fixed('correlation', 3)}, 'n/a') AS text FROM related
+               coalesce({_fixed('value', 3)}, 'n/a') AS text FROM related
         UNION ALL SELECT 2, 'optimal_range', discount_range, avg_profit, {_dollars('avg_profit')} FROM best
         UNION ALL (SELECT 3, 'decline_from', r.discount_range, r.avg_profit, {_dollars('r.avg_profit')}
           FROM ranges r, best WHERE r.order_count > 0 AND r.avg_profit < best.avg_profit * 0.7::DOUBLE

@@ -14,11 +14,14 @@ def strict_date(text: Column) -> Column:
     return F.to_date(text, EXTRACT_FORMAT)
 
 
-def lenient_date(df: DataFrame, column: str) -> Column:
-    """NULL for unreadable text; date and timestamp columns are only cast."""
+def lenient_date(df: DataFrame, column: str, pattern: str | None = None) -> Column:
+    """NULL for unreadable text; date and timestamp columns are only cast.
+
+    Text is read as ISO by default, or by ``pattern`` (such as the extract's ``dd-MM-yyyy``).
+    """
     value = F.col(column)
     if isinstance(df.schema[column].dataType, StringType):
-        value = F.try_to_timestamp(value)
+        value = F.try_to_timestamp(value, F.lit(pattern)) if pattern else F.try_to_timestamp(value)
     return value.cast("date")
 
 

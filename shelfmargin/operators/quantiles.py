@@ -2,81 +2,76 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.money import rounded
-from shelfmargin.operators.numbering import number_rows
+from shelfmargin.session import checkpointed
 
-ONE_TASK_ROWS = 1_000_000
 _DIGITS = 7
+_SLICE_BITS = 33
 
 
-def _without_noise(value: Column) -> Column:
-    """Interpolating decimal values leaves noise in the last bits; the exact result has few
-    decimals. Values too large to scale exactly stay as they are."""
-    return F.when(F.abs(value) < 1e8, rounded(value, _DIGITS)).otherwise(value)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, tuple[str, float]],
-    unique_key: Sequence[str],
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """``wanted`` maps an output name to ``(column, quantile)``; NULLs are skipped.
 
-    The exact percentile aggregate merges its value counts in one task, so it serves only
-    inputs whose checked size is small. Larger inputs are numbered in a distributed sort
-    (``unique_key`` breaks ties, so a frequent value spreads over slices) and the rows at
-    the two neighbouring ranks are looked up.
+    Rows are folded to (column, value, count), so a frequent value is one row, and sorted by
+    range; the sorted rows go to the checkpoint folder, because slice bounds come from a sample
+    and must not move on a retry. A running count per slice and one total per slice give every
+    value its ranks; the two neighbouring ranks of each quantile are interpolated and rounded
+    to 7 decimals, which removes the noise of interpolation. The same path serves every size.
     """
     columns = sorted({column for column, _ in wanted.values()})
-    counts = df.agg(*[F.count(column).alias(column) for column in columns]).first()
-    if max(counts) <= one_task_rows:
-        return df.agg(
-            *[
-                _without_noise(F.percentile(F.col(column).cast("double"), quantile)).alias(name)
-                for name, (column, quantile) in wanted.items()
-            ]
-        )
-    numbered = {
-        column: number_rows(
-            df.where(F.col(column).isNotNull()).select(column, *unique_key),
-            [F.col(column), *[F.col(key) for key in unique_key]],
-            "row_no",
-        )
-        for column in columns
-    }
-    found = reduce(
-        DataFrame.unionAll,
-        [
-            _between_ranks(numbered[column], column, quantile, counts[column], name)
-            for name, (column, quantile) in wanted.items()
-        ],
+    pairs = F.array(
+        *[
+            F.struct(F.lit(column).alias("name"), F.col(column).cast("double").alias("value"))
+            for column in columns
+        ]
     )
-    return found.agg(
-        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted]
+    folded = (
+        df.select(F.explode(pairs).alias("pair"))
+        .select("pair.*")
+        .where(F.col("value").isNotNull())
+        .groupBy("name", "value")
+        .agg(F.count("*").alias("rows"))
     )
-
-
-def _between_ranks(
-    numbered: DataFrame, column: str, quantile: float, rows: int, name: str
-) -> DataFrame:
-    position = max(rows - 1, 0) * quantile
-    lower, upper = math.floor(position), math.ceil(position)
-    ends = numbered.where(F.col("row_no").isin(lower + 1, upper + 1)).agg(
-        F.min(F.col(column).cast("double")).alias("low"),
-        F.max(F.col(column).cast("double")).alias("high"),
+    placed = checkpointed(
+        folded.orderBy("name", "value").withColumn("place", F.monotonically_increasing_id())
+    ).withColumn("slice", F.shiftright("place", _SLICE_BITS))
+    slices = placed.groupBy("name", "slice").agg(F.sum("rows").alias("slice_rows"))
+    earlier = Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("name")
+    offsets = slices.select(
+        "name",
+        "slice",
+        F.coalesce(F.sum("slice_rows").over(earlier), F.lit(0)).alias("rows_before"),
+        F.sum("slice_rows").over(whole).alias("all_rows"),
     )
-    between = (upper - position) * F.col("low") + (position - lower) * F.col("high")
-    return ends.select(
-        F.lit(name).alias("name"),
-        _without_noise(
-            F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between)
-        ).alias("value"),
+    inside = Window.partitionBy("name", "slice").orderBy("place").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    ranked = (
+        placed.withColumn("upto", F.sum("rows").over(inside))
+        .join(offsets, ["name", "slice"])
+        .withColumn("last", F.col("rows_before") + F.col("upto") - 1)
+        .withColumn("first", F.col("last") - F.col("rows") + 1)
+    )
+
+    def at(rank: Column, column: str) -> Column:
+        here = (F.col("name") == column) & (F.col("first") <= rank) & (rank <= F.col("last"))
+        return F.max(F.when(here, F.col("value")))
+
+    ends, values = [], []
+    for k, (name, (column, quantile)) in enumerate(wanted.items()):
+        position = (F.col("all_rows") - 1) * F.lit(float(quantile))
+        ends += [
+            at(F.floor(position), column).alias(f"low_{k}"),
+            at(F.ceil(position), column).alias(f"high_{k}"),
+            F.max(F.when(F.col("name") == column, position)).alias(f"at_{k}"),
+        ]
+        low, high, where = F.col(f"low_{k}"), F.col(f"high_{k}"), F.col(f"at_{k}")
+        between = (F.ceil(where) - where) * low + (where - F.floor(where)) * high
+        values.append(rounded(F.when(low == high, low).otherwise(between), _DIGITS).alias(name))
+    return ranked.agg(*ends).select(*values)

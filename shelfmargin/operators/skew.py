@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmargin.session import cached
 
 HOT_ROWS = 100_000
 MAX_HOT_KEYS = 200_000
-COPIES_PER_BLOCK = 1_000
 
 
 def hot_keys(
@@ -29,7 +28,7 @@ def hot_keys(
     The list is small and several branches read it, so it is kept.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("key_rows"))
-    total = counts.agg(F.sum("key_rows")).scalar()
+    total = rows.agg(F.count("*")).scalar()
     limit = F.greatest(F.lit(float(floor)), total / F.lit(float(max_keys)))
     return cached(
         counts.where(F.col(key).isNotNull() & (F.col("key_rows") > limit)).select(
@@ -71,55 +70,3 @@ def join_by_key(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame) -> Da
     left = folded.withColumn("slice", slice_no).drop("slices")
     right = _every_slice(hot_rows(few, key, hot), "slice")
     return cold.unionByName(left.join(right, [key, "slice"]).drop("slice"))
-
-
-def collect_in_parts(
-    rows: DataFrame,
-    key: str,
-    fields: Sequence[str],
-    name: str,
-    hot: DataFrame,
-    heads: Sequence[Column] = (),
-) -> DataFrame:
-    """``key, part, name`` and the ``heads`` aggregates: the rows of each key as an array.
-
-    The array holds structs of ``fields`` in sorted order. A key outside ``hot`` is part 0
-    and takes one shuffle. A hot key is several parts that together hold every row, each
-    with the heads of the whole key, so no task builds an unbounded array. Equal rows of a
-    hot key are counted first and dealt out in blocks, which spreads copies as well.
-    """
-    cold = (
-        cold_rows(rows, key, hot)
-        .groupBy(key)
-        .agg(
-            F.lit(0).alias("part"),
-            F.array_sort(F.collect_list(F.struct(*fields))).alias(name),
-            *heads,
-        )
-    )
-    large = hot_rows(rows, key, hot)
-    block_count = F.ceil(F.col("copies") / COPIES_PER_BLOCK).cast("long")
-    block_size = F.least(
-        F.lit(COPIES_PER_BLOCK), F.col("copies") - F.col("block") * COPIES_PER_BLOCK
-    )
-    parts = (
-        large.groupBy(key, "slices", *fields)
-        .agg(F.count("*").alias("copies"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_count - 1)))
-        .select(
-            key,
-            F.pmod(F.xxhash64(*fields, "block"), F.col("slices")).cast("int").alias("part"),
-            F.array_repeat(F.struct(*fields), block_size.cast("int")).alias("items"),
-        )
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.flatten(F.collect_list("items"))).alias(name))
-    )
-    if heads:
-        of_key = hot_rows(large.drop("slices").groupBy(key).agg(*heads), key, hot)
-        parts = parts.join(_every_slice(of_key, "part"), [key, "part"])
-    return cold.unionByName(parts)
-
-
-def repeat_per_part(few: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Repeat rows of ``few`` once for every part ``collect_in_parts`` may make."""
-    return _every_slice(few.join(F.broadcast(hot), key, "left"), "part")

@@ -25,9 +25,8 @@ from shelfmargin.functions.ranges import (
     discount_ranges,
 )
 from shelfmargin.operators.facets import apply_facets, facet_options
-from shelfmargin.operators.quantiles import ONE_TASK_ROWS, exact_quantiles
+from shelfmargin.operators.quantiles import exact_quantiles
 from shelfmargin.operators.sampling import hash_sample
-from shelfmargin.session import cached
 from shelfmargin.sources.files import require_columns
 
 REQUIRED_COLUMNS = (
@@ -157,16 +156,10 @@ def bottom_products(products: DataFrame, by: str = "profit", count: int = 10) ->
     return products.orderBy(F.asc(by), "product_name").limit(count)
 
 
-def high_sales_low_margin(
-    products: DataFrame, count: int = 10, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def high_sales_low_margin(products: DataFrame, count: int = 10) -> DataFrame:
     """Best sellers (sales in the top fifth) whose margin is at most the median."""
-    products = cached(products)
     limits = exact_quantiles(
-        products,
-        {"sales_limit": ("sales", 0.8), "margin_limit": ("profit_margin", 0.5)},
-        ["product_name"],
-        one_task_rows,
+        products, {"sales_limit": ("sales", 0.8), "margin_limit": ("profit_margin", 0.5)}
     )
     limit = limits.select(F.struct("sales_limit", "margin_limit")).scalar()
     chosen = products.where(
@@ -229,13 +222,33 @@ def monthly_trend(lines: DataFrame) -> DataFrame:
     )
 
 
+MOMENTS = ("n", "sum_d", "sum_p", "sum_dp", "sum_dd", "sum_pp", "min_d", "max_d", "min_p", "max_p")
+
+
+def _moments() -> list[Column]:
+    """Exact sums for the correlation of discount and profit; groups of them can be merged."""
+    both = F.col("discount").isNotNull() & F.col("profit").isNotNull()
+    d, p = (F.when(both, units(name)) for name in ("discount", "profit"))
+    whole = "decimal(38,0)"
+    sums = {
+        "n": F.count(F.when(both, 1)), "sum_d": F.sum(d), "sum_p": F.sum(p),
+        "sum_dp": F.sum((d * p).cast(whole)), "sum_dd": F.sum((d * d).cast(whole)), "sum_pp": F.sum((p * p).cast(whole)),
+        "min_d": F.min(d), "max_d": F.max(d), "min_p": F.min(p), "max_p": F.max(p),
+    }
+    return [sums[name].alias(name) for name in MOMENTS]
+
+
+def _merged_moments() -> list[Column]:
+    merge = {"min": F.min, "max": F.max}
+    return [merge.get(name[:3], F.sum)(name).alias(name) for name in MOMENTS]
+
+
 def _correlation() -> Column:
-    """Pearson correlation of discount and profit; NULL when either is constant."""
-    discount, profit = F.col("discount").cast("double"), F.col("profit").cast("double")
-    both = F.when(discount.isNotNull() & profit.isNotNull(), F.lit(True))
-    discount, profit = F.when(both, discount), F.when(both, profit)
-    spread = F.stddev_pop(discount) * F.stddev_pop(profit)
-    return rounded(ratio(F.covar_pop(discount, profit), spread), 6)
+    """Pearson correlation from the moments, not rounded; NULL when either side is constant."""
+    n, d, p, dp, dd, pp = (F.col(name).cast("double") for name in MOMENTS[:6])
+    spread = F.sqrt(n * dd - d * d) * F.sqrt(n * pp - p * p)
+    varies = (F.col("min_d") < F.col("max_d")) & (F.col("min_p") < F.col("max_p"))
+    return F.when(varies, ratio(n * dp - d * p, spread))
 
 
 def _impact(correlation: Column) -> Column:
@@ -249,11 +262,12 @@ def _impact(correlation: Column) -> Column:
 
 
 def correlation(lines: DataFrame) -> DataFrame:
-    value = lines.agg(_correlation().alias("correlation"))
+    """The value is rounded for display alone; label and text come from the full value."""
+    value = lines.agg(*_moments()).select(_correlation().alias("value"))
     return value.select(
-        "correlation",
-        _impact(F.col("correlation")).alias("impact"),
-        F.coalesce(plain(F.col("correlation"), 3), F.lit("n/a")).alias("correlation_text"),
+        rounded(F.col("value"), 6).alias("correlation"),
+        _impact(F.col("value")).alias("impact"),
+        F.coalesce(plain(F.col("value"), 3), F.lit("n/a")).alias("correlation_text"),
     )
 
 
@@ -373,32 +387,33 @@ def insights(lines: DataFrame) -> DataFrame:
 def conclusions(lines: DataFrame) -> DataFrame:
     """Correlation, optimal range, first range in decline, strategy and margins.
 
-    A rollup gives the ranges and the grand total in one pass over the lines.
+    The lines are folded into their ranges once; the totals are merged from those few rows.
     """
+    c = F.col
+    used = c("range_no").isNotNull() & (c("order_count") > 0)
     level = (
-        lines.rollup("range_no")
+        lines.groupBy("range_no")
         .agg(
-            F.grouping("range_no").alias("is_total"),
             F.count("*").alias("line_count"),
-            _correlation().alias("correlation"),
+            F.sum(units("profit")).alias("profit_units"),
+            F.sum(units("sales")).alias("sales_units"),
+            *_moments(),
             *_range_measures(),
         )
-        .withColumn(
-            "profit_margin", percent_or_zero(F.col("total_profit"), F.col("total_sales"))
-        )
+        .withColumn("profit_margin", percent_or_zero(c("total_profit"), c("total_sales")))
     )
-    c = F.col
-    total = c("is_total") == 1
-    used = (c("is_total") == 0) & c("range_no").isNotNull() & (c("order_count") > 0)
-    picked = level.agg(
-        F.max(F.when(total, c("line_count"))).alias("line_count"),
-        F.max(F.when(total, c("correlation"))).alias("correlation"),
-        F.max(F.when(total, c("profit_margin"))).alias("overall_margin"),
-        key_of_max(c("range_no"), F.when(used, c("avg_profit"))).alias("optimal_no"),
-        F.max(F.when(used, c("avg_profit"))).alias("optimal_profit"),
-        F.sort_array(
-            F.collect_list(F.when(used, F.struct("range_no", "avg_profit", "profit_margin")))
-        ).alias("ranges"),
+    picked = (
+        level.agg(
+            F.sum("line_count").alias("line_count"),
+            *_merged_moments(),
+            percent_or_zero(from_units(F.sum("profit_units")), from_units(F.sum("sales_units"))).alias("overall_margin"),
+            key_of_max(c("range_no"), F.when(used, c("avg_profit"))).alias("optimal_no"),
+            F.max(F.when(used, c("avg_profit"))).alias("optimal_profit"),
+            F.sort_array(
+                F.collect_list(F.when(used, F.struct("range_no", "avg_profit", "profit_margin")))
+            ).alias("ranges"),
+        )
+        .withColumn("correlation", _correlation())
     )
     decline = F.filter("ranges", lambda one: one["avg_profit"] < c("optimal_profit") * 0.7)
     optimal = F.filter("ranges", lambda one: one["range_no"] == c("optimal_no"))
@@ -423,7 +438,7 @@ def conclusions(lines: DataFrame) -> DataFrame:
             _row(
                 "discount_impact",
                 _impact(c("correlation")),
-                c("correlation"),
+                rounded(c("correlation"), 6),
                 F.coalesce(plain(c("correlation"), 3), F.lit("n/a")),
                 c("some"),
             ),
@@ -477,5 +492,7 @@ def scatter_sample(lines: DataFrame, size: int = 1000, seed: int = 42) -> DataFr
         "region",
         "country",
     )
-    chosen = hash_sample(points, size, ["order_id", "product_id", "quantity", "sales"], seed)
+    chosen = hash_sample(
+        points, size, ["order_id", "product_id", "quantity", "sales"], seed, ("discount_pct", "profit")
+    )
     return chosen.withColumn("sales", F.col("sales").cast("double"))

@@ -12,13 +12,11 @@ from shelfmargin.functions.dates import date_text, strict_date
 from shelfmargin.functions.money import exact_sum, rounded
 from shelfmargin.functions.names import attribute_map, padded_key, split_name
 from shelfmargin.operators.numbering import number_rows
-from shelfmargin.operators.skew import HOT_ROWS, collect_in_parts, hot_keys, repeat_per_part
-from shelfmargin.session import cached
+from shelfmargin.operators.parts import ITEMS_PER_PART, collect_in_parts
 from shelfmargin.sources.files import read_sales_csv, read_table, rename_sales, write_table
 from shelfmargin.sources.testbed import ORDER_COLUMNS
 
 PRODUCT_KEY = ("product_name", "category", "sub_category")
-MAX_LARGE_DOCUMENTS = 1_000_000
 LOCATION_KEY = ("city", "state", "country", "region", "market", "postal_code")
 
 
@@ -80,60 +78,57 @@ def order_table(sales: DataFrame) -> DataFrame:
     return sales.select(*ORDER_COLUMNS)
 
 
-def product_catalog(sales: DataFrame, items_per_part: int = HOT_ROWS) -> DataFrame:
+def product_catalog(sales: DataFrame, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
     """One document per product with its source ids and known attributes.
 
-    ``sales`` needs the product key. Names are split after the duplicates are gone.
-    ``part`` is 0 except for a product whose ids exceed ``items_per_part``; its further ids
-    follow in documents with the same head.
+    ``sales`` needs the product key. Names are split after the duplicates are gone. Every
+    product follows one rule: its ids in order, ``items_per_part`` to a document, as ``part`` 0,
+    1, ... with the same head.
     """
-    listed = cached(sales.select("product_id", *PRODUCT_KEY, "ori_product_id").distinct())
-    heads = listed.select("product_id", *PRODUCT_KEY).distinct()
+    heads = sales.select("product_id", *PRODUCT_KEY).distinct()
     heads = split_product_name(heads).drop("product_name").distinct()
-    ids = listed.select("product_id", "ori_product_id").distinct()
-    hot = hot_keys(ids, "product_id", floor=items_per_part, max_keys=MAX_LARGE_DOCUMENTS)
-    lists = collect_in_parts(ids, "product_id", ["ori_product_id"], "ids", hot)
-    return (
-        repeat_per_part(heads, "product_id", hot)
-        .join(lists, ["product_id", "part"])
-        .select(
-            "product_id",
-            "part",
-            "full_name",
-            "category",
-            "sub_category",
-            F.transform("ids", lambda item: item["ori_product_id"].cast("string")).alias(
-                "original_product_ids"
-            ),
-            attribute_map().alias("attributes"),
-        )
+    ids = sales.select("product_id", "ori_product_id").distinct().where(F.col("product_id").isNotNull())
+    lists = collect_in_parts(ids, "product_id", ["ori_product_id"], "ids", items_per_part)
+    return lists.join(heads, "product_id").select(
+        "product_id",
+        "part",
+        "full_name",
+        "category",
+        "sub_category",
+        F.transform("ids", lambda item: item["ori_product_id"].cast("string")).alias(
+            "original_product_ids"
+        ),
+        attribute_map().alias("attributes"),
     )
 
 
 def order_recap(
-    sales: DataFrame, line_order: Sequence[str] = ("row_id",), items_per_part: int = HOT_ROWS
+    sales: DataFrame, line_order: Sequence[str] = ("row_id",), items_per_part: int = ITEMS_PER_PART
 ) -> DataFrame:
-    """One document per order: head, products and shipping.
+    """Documents of each order: head, products and shipping.
 
     The head takes date, customer and shipping from the first line by ``line_order``, which
-    also sorts ``products``. ``part`` is 0 except for an order with more than
-    ``items_per_part`` lines; its further products follow in documents with the same head.
+    also sorts ``products``. Every order follows one rule: ``items_per_part`` lines to a
+    document, as ``part`` 0, 1, ...; ``first_line_no`` (from 1) is the place of a document's
+    first product in the order. Head, totals and shipping stand in part 0 alone, so sums over
+    documents are sums over orders.
     """
     sales = sales.where(F.col("order_id").isNotNull())
     item_fields = ("product_id", "quantity", "sales", "profit", "discount")
     first_line = F.struct(*line_order, "order_date", "customer_id", "ship_mode", "ship_date")
-    docs = collect_in_parts(
-        sales,
-        "order_id",
-        list(dict.fromkeys([*line_order, *item_fields])),
-        "lines",
-        hot_keys(sales, "order_id", floor=items_per_part, max_keys=MAX_LARGE_DOCUMENTS),
-        heads=[
+    heads = (
+        sales.groupBy("order_id")
+        .agg(
             F.min(first_line).alias("first"),
             rounded(exact_sum("profit"), 3).alias("total_profit"),
             rounded(exact_sum("sales"), 3).alias("total_sales"),
             rounded(exact_sum("shipping_cost", 6), 3).alias("total_shipping_cost"),
-        ],
+        )
+        .withColumn("part", F.lit(0))
+    )
+    fields = list(dict.fromkeys([*line_order, *item_fields]))
+    docs = collect_in_parts(sales, "order_id", fields, "lines", items_per_part).join(
+        heads, ["order_id", "part"], "left"
     )
 
     def item(line: Column) -> Column:
@@ -146,17 +141,18 @@ def order_recap(
     return docs.select(
         "order_id",
         "part",
+        F.col("first_no").alias("first_line_no"),
         date_text(F.col("first.order_date")).alias("order_date"),
         F.col("first.customer_id").alias("customer_id"),
         F.transform("lines", item).alias("products"),
         "total_profit",
         "total_sales",
-        F.struct(
+        F.when(F.col("part") == 0, F.struct(
             F.col("first.ship_mode").alias("ship_mode"),
             date_text(F.col("first.ship_date")).alias("ship_date"),
             F.datediff("first.ship_date", "first.order_date").alias("delay"),
             F.col("total_shipping_cost").alias("shipping_cost"),
-        ).alias("shipping"),
+        )).alias("shipping"),
     )
 
 

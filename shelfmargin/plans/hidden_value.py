@@ -15,7 +15,7 @@ from shelfmargin.functions.names import ATTRIBUTES, UNKNOWN, attribute
 from shelfmargin.operators.bins import histogram
 from shelfmargin.operators.facets import apply_facets, single_choice
 from shelfmargin.operators.numbering import number_rows
-from shelfmargin.operators.quantiles import ONE_TASK_ROWS, exact_quantiles
+from shelfmargin.operators.quantiles import exact_quantiles
 
 HIDDEN = "Hidden High-Value"
 CORE = "Core Product"
@@ -101,9 +101,9 @@ def unit_economics(base: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(metrics: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """One row with the four limits. Pass cached metrics: their size is checked first."""
-    return exact_quantiles(metrics, THRESHOLDS, GRAIN, one_task_rows)
+def thresholds(metrics: DataFrame) -> DataFrame:
+    """One row with the four limits."""
+    return exact_quantiles(metrics, THRESHOLDS)
 
 
 def _limit(limits: DataFrame, *names: str) -> Column:

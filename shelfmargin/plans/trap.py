@@ -6,55 +6,41 @@ other: an order's lines meet its total, or the few anchor counts of that order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.money import exact_sum, from_units, units
-from shelfmargin.operators.skew import HOT_ROWS, cold_rows, hot_keys, hot_rows, join_by_key
+from shelfmargin.operators.skew import HOT_ROWS, hot_keys, join_by_key
 
 
 def order_totals(orders: DataFrame) -> DataFrame:
     return orders.groupBy("order_id").agg(exact_sum("sales").alias("order_total"))
 
 
-def _lines_with_totals(orders: DataFrame, floor: int) -> DataFrame:
-    """``order_id, product_id, order_units``: each line with the total of its order.
+def _order_units(orders: DataFrame) -> DataFrame:
+    return orders.groupBy("order_id").agg(F.sum(units("sales")).alias("order_units"))
 
-    A usual order is summed by a window in one shuffle. The totals of hot orders are few, so
-    they go to the lines instead of the lines to one task.
-    """
-    lines = orders.where(F.col("order_id").isNotNull()).select(
-        "order_id", "product_id", units("sales").alias("sales_units")
-    )
-    hot = hot_keys(orders.select("order_id"), "order_id", floor=floor)
-    in_order = Window.partitionBy("order_id")
-    cold = cold_rows(lines, "order_id", hot).withColumn(
-        "order_units", F.sum("sales_units").over(in_order)
-    )
-    large = hot_rows(lines, "order_id", hot).drop("slices")
-    totals = large.groupBy("order_id").agg(F.sum("sales_units").alias("order_units"))
-    return cold.unionByName(large.join(F.broadcast(totals), "order_id")).drop("sales_units")
 
+def basket_totals(orders: DataFrame) -> DataFrame:
+    """Each product of each order with its line count and the total of the whole order.
 
-def basket_totals(orders: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
-    """Each product of each order with its line count and the total of the whole order."""
-    return (
-        _lines_with_totals(orders, floor)
-        .groupBy("order_id", "product_id", "order_units")
-        .agg(F.count("*").alias("line_count"))
-        .select(
-            "order_id",
-            "product_id",
-            "line_count",
-            from_units(F.col("order_units")).alias("order_total"),
-        )
+    Lines are folded into products before they meet the total, and nothing groups by order
+    after that, so adaptive execution can split an order of any size.
+    """
+    products = orders.groupBy("order_id", "product_id").agg(F.count("*").alias("line_count"))
+    return products.join(_order_units(orders), "order_id").select(
+        "order_id", "product_id", "line_count", from_units(F.col("order_units")).alias("order_total")
     )
 
 
-def trap_products(orders: DataFrame, product: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
-    """Products by line count times mean basket value, highest first."""
+def trap_products(orders: DataFrame, product: DataFrame) -> DataFrame:
+    """Products by line count times mean basket value, highest first.
+
+    Two reads of the lines: one for the order totals, one for the lines that meet them.
+    """
     facts = (
-        _lines_with_totals(orders, floor)
+        orders.select("order_id", "product_id")
+        .join(_order_units(orders), "order_id")
         .groupBy("product_id")
         .agg(
             F.count("*").alias("frequency"),
@@ -82,9 +68,13 @@ def top_frequency(traps: DataFrame, count: int = 20) -> DataFrame:
 def _companions(
     orders: DataFrame, anchored: DataFrame, product: DataFrame, floor: int
 ) -> DataFrame:
-    """Line pairs per anchor and companion; ``anchored`` has one row per order and anchor."""
-    lines = orders.select("order_id", "product_id")
-    hot = hot_keys(orders.select("order_id"), "order_id", floor=floor)
+    """Line pairs per anchor and companion; ``anchored`` has one row per order and anchor.
+
+    Only the orders of anchors are joined, counted and searched for hot ones.
+    """
+    some = anchored.select("order_id").distinct()
+    lines = orders.select("order_id", "product_id").join(some, "order_id", "left_semi")
+    hot = hot_keys(lines.select("order_id"), "order_id", floor=floor)
     together = join_by_key(lines, anchored, "order_id", hot)
     counted = (
         together.where(F.col("product_id") != F.col("anchor_id"))

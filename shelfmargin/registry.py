@@ -105,7 +105,7 @@ def _split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = testbed.sales_extract(spark, sf_dir)
     return etl.product_catalog(
-        _keyed(cached(sales.select(*etl.PRODUCT_KEY, "ori_product_id").distinct()))
+        _keyed(sales.select(*etl.PRODUCT_KEY, "ori_product_id").distinct())
     )
 
 
@@ -142,8 +142,8 @@ def _recap_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _recap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recap_documents(spark, sf_dir).select(
-        "order_id", F.posexplode("products").alias("line_no", "product")
-    ).select("order_id", "line_no", "product.*")
+        "order_id", "first_line_no", F.posexplode("products").alias("place", "product")
+    ).select("order_id", (F.col("first_line_no") - 1 + F.col("place")).cast("int").alias("line_no"), "product.*")
 
 
 def _delays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +162,7 @@ QUERIES: dict[str, Query] = {
     "dim_location": lambda s, d: etl.location_table(testbed.sales_extract(s, d)),
     "star_orders": _star_orders,
     "split_product_name": _split_names,
-    "product_catalog": _catalog_documents,
     "product_catalog_flat": _catalog_flat,
-    "order_recap": _recap_documents,
     "order_recap_flat": _recap_flat,
     "order_recap_lines": _recap_lines,
     "shipping_delays": _delays,
@@ -178,7 +176,7 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "discount_kpis": _discount(discount.kpis),
-    "product_summary": _discount(discount.product_summary),
+    "product_summary": _products(lambda p: p.orderBy(F.desc("sales"), "product_name")),
     "discount_range_summary": _discount(discount.range_summary),
     "category_avg_discount": _discount(discount.category_discount),
     "region_profit": _discount(discount.region_profit),

@@ -58,6 +58,7 @@ RECAP_SCHEMA = T.StructType(
     [
         T.StructField("order_id", _TEXT),
         T.StructField("part", T.IntegerType()),
+        T.StructField("first_line_no", T.LongType()),
         T.StructField("order_date", _TEXT),
         T.StructField("customer_id", _TEXT),
         T.StructField(
@@ -133,18 +134,6 @@ def read_table(
     return reader.load(name)
 
 
-def spread_small_scan(df: DataFrame, *columns: str) -> DataFrame:
-    """Use all cores on a table stored in too few splits to feed them.
-
-    A table with at least as many splits as the cluster has cores is left alone, so a large
-    table is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *columns)
-
-
 def read_documents(
     spark: SparkSession,
     path: str,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.names import attribute_map, split_name
-from shelfmargin.sources.files import read_table, spread_small_scan
+from shelfmargin.sources.files import read_table
 
 ORDER_COLUMNS = (
     "order_id",
@@ -61,7 +61,7 @@ def order_lines(
     whole ten-thousandths and divided once.
     """
     lines = (
-        spread_small_scan(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+        _table(spark, sf_dir, "lineitem")
         .selectExpr(
             "l_orderkey AS order_id",
             "l_partkey AS product_id",

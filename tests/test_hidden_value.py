@@ -45,10 +45,6 @@ def test_default_selector_is_the_hidden_segment(metrics, limits, segmented):
     assert left == right and left
 
 
-def test_distributed_thresholds_are_the_same(metrics, limits):
-    assert tuple(hidden.thresholds(metrics, one_task_rows=0).first()) == tuple(limits.first())
-
-
 def test_profits_add_up(segmented, limits):
     row = hidden.kpis(segmented, limits).first()
     assert row["hidden_profit"] + row["non_hidden_profit"] == pytest.approx(row["total_profit"])
