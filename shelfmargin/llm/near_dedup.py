@@ -39,7 +39,7 @@ WORDS = 5
 SIMILARITY = 75  # percent
 SKETCH = 64
 MARGIN = 6.0
-LEADERS = 4
+LEADERS = 2
 BUCKET_BITS = 16
 EXACT_BITS = 20
 
@@ -139,7 +139,7 @@ def list_entries(
         index = pa.array(np.concatenate(owners))
         yield [pa.array(np.concatenate(picked)), pa.array(np.concatenate(left)), *[batch.column(k).take(index) for k in range(2, 3 + len(keep))]]
 
-    schema = ", ".join(["value long, left long, class binary", *[f"{name} {kinds[name]}" for name in keep]])
+    schema = ", ".join(["value long, left long, class long", *[f"{name} {kinds[name]}" for name in keep]])
     return map_batches(sets.select("n_shingles", values, "class", *keep), entries, schema)
 
 
@@ -163,7 +163,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ]
     joined = pairs.join(side[0], "a").join(side[1], "b")
     fitting = joined.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
-    return map_batches(fitting.select("a", "b", "sa", "sb", "na", "nb"), passing, "a binary, b binary")
+    return map_batches(fitting.select("a", "b", "sa", "sb", "na", "nb"), passing, "a long, b long")
 
 
 def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: st
         .agg(F.any_value(text).alias("whole"))
     )
     return checkpointed(
-        map_batches(texts.join(wanted, "text_hash").select("class", "whole"), sets, "class binary, members binary")
+        map_batches(texts.join(wanted, "text_hash").select("class", "whole"), sets, "class long, members binary")
     )
 
 
@@ -201,11 +201,7 @@ def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
     side = [whole.select(F.col("class").alias(x), F.col("members").alias(f"m{x}")) for x in ("a", "b")]
     joined = pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "ma", "mb")
-    return checkpointed(map_batches(joined, near, "a binary, b binary"))
-
-
-def _both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    return checkpointed(map_batches(joined, near, "a long, b long"))
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -228,15 +224,17 @@ def near_duplicates(
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
-    rows = checkpointed(sketches(source, "text", ("doc_id", "text_hash"), width))
+    # rows are cheap to make again from their texts; only the classes are laid down
+    rows = sketches(source, "text", ("doc_id", "text_hash"), width).withColumnRenamed("class", "digest")
     classes = checkpointed(
-        rows.where(F.col("class").isNotNull())
-        .groupBy("class")
+        rows.where(F.col("digest").isNotNull())
+        .groupBy("digest")
         .agg(
             F.any_value("n_shingles").alias("n_shingles"),
             F.any_value("sketch").alias("sketch"),
             F.min("text_hash").alias("text_hash"),
         )
+        .withColumn("class", F.monotonically_increasing_id())
     )
     entries = list_entries(classes, "sketch", least_overlap).drop("left")
     leader = F.min(F.struct(F.xxhash64("class", F.pmod("value", F.lit(LEADERS))).alias("order"), "class"))
@@ -250,7 +248,9 @@ def near_duplicates(
         F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")
     ).distinct()
     near_stars = checkpointed(_estimated(stars, classes))
-    first = _confirmed(near_stars, _whole_sets(_both_ends(near_stars), classes, source, "text", width))
+    # texts are shuffled once, for the sets of all classes that share a list
+    whole = _whole_sets(shared.select("class").distinct(), classes, source, "text", width)
+    first = _confirmed(near_stars, whole)
     grouped = checkpointed(components(first, "a", "b").withColumnRenamed("node", "class"))
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -259,36 +259,34 @@ def near_duplicates(
     unsettled = checkpointed(
         _mixed(placed(shared.where(F.col("members") > 2).select("value", "class"))).select("class").distinct()
     )
-    whole = _whole_sets(unsettled, classes, source, "text", width)
     exact = list_entries(
-        whole.withColumn("n_shingles", (F.octet_length("members") / 8).cast("long")), "members", exact_overlap,
+        whole.join(unsettled, "class", "left_semi").withColumn("n_shingles", (F.octet_length("members") / 8).cast("long")), "members", exact_overlap,
         ("n_shingles",), EXACT_BITS,
     )
-    listed = _mixed(placed(checkpointed(exact)))
-    side = [
-        listed.select(
-            "value", F.col("class").alias(x), F.col("component").alias(f"c{x}"),
-            F.col("n_shingles").alias(f"n{x}"), F.col("left").alias(f"l{x}"),
-        )
-        for x in ("a", "b")
-    ]
+    exact = checkpointed(exact)
     # sets of these sizes must share 3/7 of their sum; a pair's first shared value shows whether they still can
-    needed = (F.col("na") + F.col("nb")) * SIMILARITY
-    rest = (
-        side[0].join(side[1], "value")
-        .where(F.col("ca") < F.col("cb"))
-        .where(F.least("la", "lb") * (100 + SIMILARITY) >= needed)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    second = _confirmed(checkpointed(_estimated(rest.join(stars, ["a", "b"], "left_anti"), classes)), whole)
-    links = checkpointed(first.unionAll(second).distinct())
+    fits = F.least("la", "lb") * (100 + SIMILARITY) >= (F.col("na") + F.col("nb")) * SIMILARITY
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        names = {"class": x, "component": f"c{x}", "n_shingles": f"n{x}", "left": f"l{x}"}
+        return rows.select("value", *[F.col(name).alias(other) for name, other in names.items()])
+
+    listed = _mixed(placed(exact))
+    rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits)
+    rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
+    links = checkpointed(first.unionAll(_confirmed(rest, whole)).distinct())
 
     joined = components(links, "a", "b").withColumnRenamed("node", "class")
-    placed_rows = checkpointed(
-        rows.select("doc_id", "text_hash", "n_shingles", "class")
+    placed_classes = (
+        classes.select("digest", "class")
         .join(joined, "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
+        .select("digest", F.coalesce("component", "class").alias("component"))
+    )
+    placed_rows = checkpointed(
+        rows.select("doc_id", "text_hash", "n_shingles", "digest")
+        .join(placed_classes, "digest", "left")
+        .drop("digest")
     )
     ids = placed_rows.where(F.col("component").isNotNull()).groupBy("component").agg(
         F.min("doc_id").alias("component_id")
