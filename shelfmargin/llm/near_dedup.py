@@ -39,7 +39,7 @@ WORDS = 5
 SIMILARITY = 75  # percent
 SKETCH = 64
 MARGIN = 6.0
-LEADERS = 2
+LEADERS = 8
 BUCKET_BITS = 16
 EXACT_BITS = 20
 
