@@ -17,7 +17,9 @@ Lists do not emit all pairs. First every member is compared with a leader of its
 Where members of a list are then still in different components, they enter exact lists: by the
 rarest quarter of their whole shingle sets, of which two near duplicates share one. A document
 with a quarter of shingles of its own meets nobody there, however common the rest of its text.
-Only members of different components are then compared.
+Only members of different components are then compared, and of those only pairs whose parity
+maps (256 bits, each the parity of the shingles that fall on it) differ in no more bits than two
+near duplicates can: shingles that only one of the two has flip at most one bit each.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ MARGIN = 6.0
 LEADERS = 8
 BUCKET_BITS = 16
 EXACT_BITS = 20
+PARITY = ("parity_0", "parity_1", "parity_2", "parity_3")
 
 
 def least_overlap(shingles: int, size: int = SKETCH, percent: int = SIMILARITY) -> int:
@@ -106,12 +109,18 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "held"])
 
     held = ready(sets).mapInArrow(count, "bucket long, held long")
+    found = held.groupBy("bucket").agg(F.sum("held").alias("held")).toArrow()
     counts = np.zeros(1 << bits, np.int64)
-    for row in held.groupBy("bucket").agg(F.sum("held").alias("held")).toLocalIterator():
-        counts[row.bucket] = row.held
+    counts[found["bucket"].to_numpy()] = found["held"].to_numpy()
     return counts
 
 
+def parity_map(members: np.ndarray) -> np.ndarray:
+    """Four longs of 256 bits: how many members, by their highest byte, fall on each, modulo 2."""
+    odd = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def list_entries(
     sets: DataFrame, values: str, overlap: Callable[[int], int], keep: tuple[str, ...] = (), bits: int = BUCKET_BITS
 ) -> DataFrame:
@@ -167,13 +176,18 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``class, members`` (sorted shingle hashes) of the classes in ``needed``."""
+    """``class, members`` (sorted shingle hashes) and the parity map of the classes in ``needed``."""
 
     def sets(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         data, offsets = utf8(batch.column(1))
         for first, last in slices(offsets):
-            found = [s.tobytes() for s in shingle_sets(*cut(data, offsets, first, last), width)]
-            yield [batch.column(0).slice(first, last - first), pa.array(found, pa.binary())]
+            found = list(shingle_sets(*cut(data, offsets, first, last), width))
+            maps = np.array([parity_map(s) for s in found], np.int64)
+            yield [
+                batch.column(0).slice(first, last - first),
+                pa.array([s.tobytes() for s in found], pa.binary()),
+                *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(PARITY))],
+            ]
 
     wanted = classes.join(needed, "class").select("class", "text_hash")
     texts = (
@@ -183,7 +197,11 @@ def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: st
         .agg(F.any_value(text).alias("whole"))
     )
     return checkpointed(
-        map_batches(texts.join(wanted, "text_hash").select("class", "whole"), sets, "class long, members binary")
+        map_batches(
+            texts.join(wanted, "text_hash").select("class", "whole"),
+            sets,
+            ", ".join(["class long, members binary", *[f"{name} long" for name in PARITY]]),
+        )
     )
 
 
@@ -261,19 +279,23 @@ def near_duplicates(
     )
     exact = list_entries(
         whole.join(unsettled, "class", "left_semi").withColumn("n_shingles", (F.octet_length("members") / 8).cast("long")), "members", exact_overlap,
-        ("n_shingles",), EXACT_BITS,
+        ("n_shingles", *PARITY), EXACT_BITS,
     )
     exact = checkpointed(exact)
     # sets of these sizes must share 3/7 of their sum; a pair's first shared value shows whether they still can
     fits = F.least("la", "lb") * (100 + SIMILARITY) >= (F.col("na") + F.col("nb")) * SIMILARITY
+    # and at most 1/7 of their sum may stand in one of them alone
+    differing = sum(F.bit_count(F.col(f"{name}a").bitwiseXOR(F.col(f"{name}b"))) for name in PARITY)
+    alike = differing * (100 + SIMILARITY) <= (F.col("na") + F.col("nb")) * (100 - SIMILARITY)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
     def side(rows: DataFrame, x: str) -> DataFrame:
         names = {"class": x, "component": f"c{x}", "n_shingles": f"n{x}", "left": f"l{x}"}
+        names |= {name: f"{name}{x}" for name in PARITY}
         return rows.select("value", *[F.col(name).alias(other) for name, other in names.items()])
 
     listed = _mixed(placed(exact))
-    rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits)
+    rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits & alike)
     rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
     links = checkpointed(first.unionAll(_confirmed(rest, whole)).distinct())
 

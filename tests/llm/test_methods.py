@@ -82,6 +82,17 @@ def test_overlap_bounds():
         assert near_dedup.least_overlap(n) <= math.ceil(0.75 * min(n, 64))
 
 
+def test_parity_maps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, other in ((1, 0), (40, 6), (300, 80), (5000, 900)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        b = np.concatenate([a[other:], rng.integers(0, 1 << 63, other).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
+        maps = [near_dedup.parity_map(x).view(np.uint8) for x in (a, b)]
+        differing = int(np.unpackbits(maps[0] ^ maps[1]).sum())
+        assert differing <= len(np.setxor1d(a, b))
+        assert len(maps[0]) == 8 * len(near_dedup.PARITY)
+
+
 def test_bpe_equals_library():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
