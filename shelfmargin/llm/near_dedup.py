@@ -18,7 +18,7 @@ Where members of a list are then still in different components, they enter exact
 rarest quarter of their whole shingle sets, of which two near duplicates share one. A document
 with a quarter of shingles of its own meets nobody there, however common the rest of its text.
 Only members of different components are then compared, and of those only pairs whose parity
-maps (256 bits, each the parity of the shingles that fall on it) differ in no more bits than two
+maps (512 bits, each the parity of the shingles that fall on it) differ in no more bits than two
 near duplicates can: shingles that only one of the two has flip at most one bit each.
 """
 
@@ -44,7 +44,7 @@ MARGIN = 6.0
 LEADERS = 8
 BUCKET_BITS = 16
 EXACT_BITS = 20
-PARITY = ("parity_0", "parity_1", "parity_2", "parity_3")
+PARITY = tuple(f"parity_{k}" for k in range(8))
 
 
 def least_overlap(shingles: int, size: int = SKETCH, percent: int = SIMILARITY) -> int:
@@ -116,8 +116,8 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
 
 
 def parity_map(members: np.ndarray) -> np.ndarray:
-    """Four longs of 256 bits: how many members, by their highest byte, fall on each, modulo 2."""
-    odd = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """Eight longs of 512 bits: how many members, by their highest nine bits, fall on each, modulo 2."""
+    odd = np.bincount((members >> np.uint64(55)).astype(np.int64), minlength=512) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
