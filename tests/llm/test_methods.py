@@ -306,6 +306,22 @@ def test_license_templates(documents):
     assert (got[3].labels, got[3].score, got[3].first_word) == ("", 0.0, None)
 
 
+def test_license_lines_of_the_tables(documents):
+    """Each form of license line that the documents hold, and lines of other licenses."""
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": ("gpl", "gpl"),
+        "All rights reserved.": ("reserved", "reserved"),
+        "Licensed under CC BY-NC 4.0.": ("cc-by", "cc-by"),
+        "Released under the MIT License.": ("mit-line", ""),
+        "Licensed under the Apache License, Version 2.0.": ("apache-line", ""),
+        "Released under the BSD License.": ("", ""),
+        "Licensed under the Mozilla Public License, Version 2.0.": ("", ""),
+    }
+    table = [(i, f"Und des mit.\n{line}") for i, line in enumerate(lines)]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in license_scan.scan(documents(table)).collect()}
+    assert got == dict(enumerate(lines.values()))
+
+
 def test_pipeline(spark, sf_dir, rows):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     kept = {i for i, (_, _, first) in brute_components([(r["doc_id"], r["text"]) for r in rows]).items() if first}
