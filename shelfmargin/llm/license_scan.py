@@ -1,12 +1,17 @@
 """License texts found by an exact set-similarity join of text blocks with templates.
 
-A block is a line; its tokens are the distinct words of the vocabulary of all templates. A
-template is found in a block that holds at least ``CONTAINMENT`` percent of its tokens. Tokens
-are ordered by how many blocks of the whole corpus hold them, rare ones first. A block that
-reaches the threshold shares one of the first ``size - needed + 1`` tokens of the template, so
-only these are join keys (prefix filter); blocks with fewer vocabulary tokens than needed are
-left out (length filter); the place of the first shared token bounds how many can still follow
-(positional filter). What remains is verified on the whole sets.
+The blocks for a template of n words are windows of 2 n words of the whole text, starting at
+every max(1, n div 2)-th word, so line breaks do not matter, each run of 1.5 n words is inside
+a block, and a long line gathers no words from far apart. The tokens of a block are its distinct
+words. A template is found in a block that holds at least ``CONTAINMENT`` percent of its tokens.
+
+The blocks of a text are parts of it, so the text's own token set, cut to the vocabulary of all
+templates, settles which templates its blocks can reach. Tokens are ordered by how many texts
+hold them, rare ones first. A text with a block that reaches the threshold shares one of the
+first ``size - needed + 1`` tokens of the template, so only these are join keys (prefix filter);
+texts with fewer vocabulary tokens than needed are left out (length filter); the place of the
+first shared token bounds how many can still follow (positional filter).
+What remains is cut into its blocks, and each is verified on the whole sets.
 
 Templates are a short fixed list, so their prefixes and token counts are broadcast: at most
 ``MOST_TOKENS`` tokens, checked. All steps are DataFrame expressions.
@@ -95,14 +100,13 @@ def base_scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES) -> DataFr
     )
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``doc_id, text_hash, tokens``: lines with a vocabulary word, reduced to the vocabulary."""
-    lines = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.split("text", "\n")).alias("block")
+def _best_block(words: Column, template: Column, length: Column) -> Column:
+    """Most tokens of ``template`` that a window of ``2 * length`` words holds."""
+    stride = F.greatest(F.expr("length div 2"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - length, F.lit(1)), stride)
+    return F.array_max(
+        F.transform(starts, lambda k: F.size(F.array_intersect(template, F.slice(words, k, 2 * length))))
     )
-    split = F.split(words_text(F.col("block")), " ")
-    held = F.array_intersect(split, F.array(*[F.lit(word) for word in vocabulary]))
-    return lines.select("doc_id", "text_hash", held.alias("tokens"))
 
 
 def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = CONTAINMENT) -> DataFrame:
@@ -111,40 +115,54 @@ def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
     Null texts have no blocks; a template without words is never found.
     """
     spark = docs.sparkSession
-    sets = {label: list(dict.fromkeys(re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower()))) for label, text in templates.items()}
-    sets = {label: words for label, words in sets.items() if words}
+    lists = {label: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower()) for label, text in templates.items()}
+    lists = {label: words for label, words in lists.items() if words}
+    sets = {label: list(dict.fromkeys(words)) for label, words in lists.items()}
     vocabulary = sorted({word for words in sets.values() for word in words})
     if sum(map(len, sets.values())) > MOST_TOKENS:
         raise ValueError(f"templates have more than {MOST_TOKENS} tokens")
     least = min((-(-percent * len(words) // 100) for words in sets.values()), default=1)
-    held = blocks(docs, vocabulary).where(F.size("tokens") >= least)
+    texts = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.trim(words_text(F.col("text"))), " ").alias("words")
+    )
+
+    def held(order: list[str]) -> Column:
+        return F.array_intersect(F.array(*[F.lit(word) for word in order]).cast("array<string>"), F.col("words"))
+
     # frequencies only order the tokens: any order gives the same result, the rare ones first the fewest candidates
     counted = {
-        row.token: row.blocks
-        for row in held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("blocks")).collect()
+        row.token: row.texts
+        for row in texts.select(F.explode(held(vocabulary)).alias("token")).groupBy("token").agg(F.count("*").alias("texts")).collect()
     }
-    rank = {word: k for k, word in enumerate(sorted(vocabulary, key=lambda word: (counted.get(word, 0), word)))}
+    order = sorted(vocabulary, key=lambda word: (counted.get(word, 0), word))
+    rank = {word: k for k, word in enumerate(order)}
     prefixes = []
     for label, words in sets.items():
         ordered = sorted(words, key=rank.__getitem__)
         needed = -(-percent * len(words) // 100)
         prefixes += [
-            (token, place, label, ordered, len(words), needed)
+            (token, place, label, ordered, len(words), needed, len(lists[label]))
             for place, token in enumerate(ordered[: len(words) - needed + 1])
         ]
     few = spark.createDataFrame(
-        prefixes, "token string, place int, label string, template array<string>, template_size int, needed int"
+        prefixes,
+        "token string, place int, label string, template array<string>, template_size int, needed int, length int",
     )
-    keys = F.array(*[F.lit(word) for word in sorted({p[0] for p in prefixes}, key=rank.__getitem__)])
+    keys = F.array(*[F.lit(word) for word in sorted({p[0] for p in prefixes}, key=rank.__getitem__)]).cast("array<string>")
+    # both sets are in the order of ranks, so the first shared token is the first of their intersection
     candidates = (
-        held.withColumn("keys", F.array_intersect("tokens", keys))
+        texts.withColumn("tokens", held(order))
+        .where(F.size("tokens") >= least)
+        .withColumn("keys", F.array_intersect(keys, F.col("tokens")))
         .where(F.size("keys") > 0)
-        .select("doc_id", "text_hash", "tokens", F.explode("keys").alias("token"))
+        .select("doc_id", "text_hash", "words", "tokens", F.explode("keys").alias("token"))
         .join(F.broadcast(few), "token")
         .where(F.size("tokens") >= F.col("needed"))
+        .where(F.get(F.array_intersect("template", "tokens"), 0) == F.col("token"))
         .where(F.col("template_size") - F.col("place") >= F.col("needed"))
+        .where(F.size(F.array_intersect("template", "tokens")) >= F.col("needed"))
     )
-    shared = F.size(F.array_intersect("tokens", "template"))
+    shared = _best_block(F.col("words"), F.col("template"), F.col("length"))
     return (
         candidates.withColumn("shared", shared)
         .where(F.col("shared") >= F.col("needed"))

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -322,6 +323,31 @@ def test_license_lines_of_the_tables(documents):
     assert got == dict(enumerate(lines.values()))
 
 
+def brute_labels(text):
+    """Labels of the templates that a window of whole-text words holds, by comparing sets."""
+    words = re.findall("[0-9a-z\\x80-\U0010ffff]+", text.lower())
+    found = set()
+    for label, template in license_scan.TEMPLATES.items():
+        n, tokens = len(template.split()), set(template.split())
+        for k in range(0, max(len(words) - n, 1), max(n // 2, 1)):
+            if 100 * len(tokens & set(words[k : k + 2 * n])) >= license_scan.CONTAINMENT * len(tokens):
+                found.add(label)
+    return found | {label for phrase, label in license_scan.BASE_PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+
+
+def test_license_notices_over_lines(documents):
+    """Wrapped notices are found wherever they stand; words far apart in one line are not."""
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation\n# files"
+    bsd = "* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    far = " ".join(f"{word} {'x ' * 30}" for word in license_scan.TEMPLATES["gpl-notice"].split())
+    table = [(1, mit), (2, bsd), (3, far)]
+    table += [(10 + k, f"{'x ' * k}\n{text}\n{'y ' * 50}") for k in range(25) for text in (mit if k % 2 else bsd,)]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.scan(documents(table)).collect()}
+    assert got == {i: brute_labels(text) for i, text in table}
+    assert (got[1], got[2], got[3]) == ({"mit"}, {"bsd"}, set())
+    assert all(got[10 + k] == {"mit" if k % 2 else "bsd"} for k in range(25))
+
+
 def test_pipeline(spark, sf_dir, rows):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     kept = {i for i, (_, _, first) in brute_components([(r["doc_id"], r["text"]) for r in rows]).items() if first}
