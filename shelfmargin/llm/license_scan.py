@@ -9,8 +9,8 @@ The blocks of a text are parts of it, so the text's own token set, cut to the vo
 templates, settles which templates its blocks can reach. Tokens are ordered by how many texts
 hold them, rare ones first. A text with a block that reaches the threshold shares one of the
 first ``size - needed + 1`` tokens of the template, so only these are join keys (prefix filter);
-texts with fewer vocabulary tokens than needed are left out (length filter); the place of the
-first shared token bounds how many can still follow (positional filter).
+texts with fewer vocabulary tokens than needed are left out (length filter); the places of the
+first shared token in template and text bound how many can still follow (positional filter).
 What remains is cut into its blocks, and each is verified on the whole sets.
 
 Templates are a short fixed list, so their prefixes and token counts are broadcast: at most
@@ -100,6 +100,11 @@ def base_scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES) -> DataFr
     )
 
 
+def _enough_follow(in_template: Column, in_text: Column, needed: Column) -> Column:
+    """Whether ``needed`` tokens can be shared from the first shared one on, by what is left of both sets."""
+    return F.least(in_template, in_text) >= needed
+
+
 def _best_block(words: Column, template: Column, length: Column) -> Column:
     """Most tokens of ``template`` that a window of ``2 * length`` words holds."""
     stride = F.greatest(F.expr("length div 2"), F.lit(1))
@@ -150,6 +155,7 @@ def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
     )
     keys = F.array(*[F.lit(word) for word in sorted({p[0] for p in prefixes}, key=rank.__getitem__)]).cast("array<string>")
     # both sets are in the order of ranks, so the first shared token is the first of their intersection
+    here = F.array_position("tokens", F.col("token")).cast("int")
     candidates = (
         texts.withColumn("tokens", held(order))
         .where(F.size("tokens") >= least)
@@ -159,7 +165,7 @@ def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
         .join(F.broadcast(few), "token")
         .where(F.size("tokens") >= F.col("needed"))
         .where(F.get(F.array_intersect("template", "tokens"), 0) == F.col("token"))
-        .where(F.col("template_size") - F.col("place") >= F.col("needed"))
+        .where(_enough_follow(F.col("template_size") - F.col("place"), F.size("tokens") - here + 1, F.col("needed")))
         .where(F.size(F.array_intersect("template", "tokens")) >= F.col("needed"))
     )
     shared = _best_block(F.col("words"), F.col("template"), F.col("length"))

@@ -348,6 +348,13 @@ def test_license_notices_over_lines(documents):
     assert all(got[10 + k] == {"mit" if k % 2 else "bsd"} for k in range(25))
 
 
+def test_license_positional_filter(spark):
+    """Places in template and text both count: (left in template, left in text, needed)."""
+    table = spark.createDataFrame([(5, 5, 4), (4, 3, 4), (3, 9, 4), (4, 4, 4)], "a int, b int, n int")
+    kept = table.where(license_scan._enough_follow(table.a, table.b, table.n)).collect()
+    assert sorted(map(tuple, kept)) == [(4, 4, 4), (5, 5, 4)]
+
+
 def test_pipeline(spark, sf_dir, rows):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     kept = {i for i, (_, _, first) in brute_components([(r["doc_id"], r["text"]) for r in rows]).items() if first}
