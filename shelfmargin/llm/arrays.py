@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 16 << 20
@@ -123,10 +124,18 @@ def ready(df: DataFrame) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[Sequence[pa.Array]]], schema: str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], Iterator[Sequence[pa.Array]]],
+    schema: str | StructType,
 ) -> DataFrame:
-    """Apply ``function`` to the Arrow batches of ``df``; it yields the columns of ``schema``."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    """Apply ``function`` to the Arrow batches of ``df``; it yields the columns of ``schema``.
+
+    A schema with columns of the caller's table is a ``StructType``, since their names and types
+    may be anything.
+    """
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    names = schema.names
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

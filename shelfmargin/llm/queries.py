@@ -9,6 +9,7 @@ from shelfmargin.llm.language_id import op2_language_id
 from shelfmargin.llm.license_scan import OP10_SQL, op10_license_scan
 from shelfmargin.llm.mixing import OP1_SQL, op1_pareto_mix
 from shelfmargin.llm.near_dedup import op4_near_dedup
+from shelfmargin.llm.periodic_runs import OP13_SQL, op13_periodic_runs
 from shelfmargin.llm.quality_rules import OP5_SQL, op5_quality_rules
 from shelfmargin.llm.substring_dedup import op6_substring_dedup
 from shelfmargin.llm.warc_archive import OP7_SQL, op7_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP8_SQL = """
@@ -46,4 +48,5 @@ ORACLE_SQL = {
     "op7_warc": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
     "op10_license_scan": OP10_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
