@@ -49,11 +49,15 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach.
 
-    ``spark.checkpoint.dir`` names it; where that is unset, as in tests, it is a folder of
-    the warehouse.
+    ``spark.checkpoint.dir`` names it. Where that is unset and all tasks run in this process, as
+    in tests, it is a folder of the warehouse; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -61,6 +65,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``new_folder`` and all it holds; nothing may read it afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so a retry reads the same rows.
 
