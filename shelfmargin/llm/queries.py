@@ -13,6 +13,7 @@ from shelfmargin.llm.periodic_runs import OP13_SQL, op13_periodic_runs
 from shelfmargin.llm.quality_rules import OP5_SQL, op5_quality_rules
 from shelfmargin.llm.substring_dedup import op6_substring_dedup
 from shelfmargin.llm.warc_archive import OP7_SQL, op7_warc
+from shelfmargin.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
