@@ -11,6 +11,7 @@ from shelfmargin.llm.mixing import OP1_SQL, op1_pareto_mix
 from shelfmargin.llm.near_dedup import op4_near_dedup
 from shelfmargin.llm.periodic_runs import OP13_SQL, op13_periodic_runs
 from shelfmargin.llm.quality_rules import OP5_SQL, op5_quality_rules
+from shelfmargin.llm.secret_scan import OP12_SQL, op12_secret_scan
 from shelfmargin.llm.substring_dedup import op6_substring_dedup
 from shelfmargin.llm.warc_archive import OP7_SQL, op7_warc
 from shelfmargin.llm.whitening import op11_whitening
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
     "op11_whitening": op11_whitening,
+    "op12_secret_scan": op12_secret_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -50,5 +52,6 @@ ORACLE_SQL = {
     "op7_warc": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
     "op10_license_scan": OP10_SQL,
+    "op12_secret_scan": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
