@@ -220,8 +220,6 @@ def identity_errors(fit: DataFrame, models) -> dict[int, float]:
     def partial(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         for width, rows in by_width(batch.column(0)):
             model = models.value[width]
-            if not width:
-                continue
             points = model.whitened(model.centred(matrix(batch.column(0).take(pa.array(rows)), width)))
             means = points.mean(axis=0)
             products = (points - means).T @ (points - means)
@@ -266,7 +264,7 @@ def whiten(
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col(vec_id).alias("vec_id"), whole(vector, scale, offset).alias("whole")).where(
-        F.col("whole").isNotNull()
+        F.size("whole") > 0
     )
     folder = new_folder(spark, "whitening")
     rows.select("whole").distinct().write.parquet(folder)
@@ -286,8 +284,6 @@ def whiten(
         for width, places in by_width(batch.column(1)):
             model = models.value[width]
             k = len(model.values)
-            if not k:
-                continue
             ids = batch.column(0).take(pa.array(np.repeat(places, k)))
             centred = model.centred(matrix(batch.column(1).take(pa.array(places)), width))
             deviation = (centred * centred).sum(axis=1)
