@@ -16,8 +16,8 @@ from shelfmargin.session import build_session
 
 HEADLINES = (
     "star_orders",
-    "product_catalog",
-    "order_recap",
+    "product_catalog_flat",
+    "order_recap_flat",
     "discount_base",
     "facet_options",
     "discount_kpis",

@@ -485,4 +485,14 @@ ORACLE_SQL: dict[str, str] = {
       JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_partkey <> anchor_id
       LEFT JOIN part ON p_partkey = b.l_partkey
       GROUP BY anchor_id, b.l_partkey""",
+    "bought_together_every": """
+      WITH pairs AS (
+        SELECT a.l_partkey AS anchor_id, b.l_partkey AS product_id, count(*) AS frequency
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
+        GROUP BY a.l_partkey, b.l_partkey),
+      ranked AS (
+        SELECT *, cast(row_number() OVER (PARTITION BY anchor_id ORDER BY frequency DESC, product_id)
+                  AS integer) AS rank FROM pairs)
+      SELECT anchor_id, rank, product_id, p_name AS product_name, frequency
+      FROM ranked LEFT JOIN part ON p_partkey = product_id WHERE rank <= 10""",
 }

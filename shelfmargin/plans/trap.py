@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.money import exact_sum, from_units, units
+from shelfmargin.operators.companions import HEADS, top_companions
 from shelfmargin.operators.skew import HOT_ROWS, hot_keys, join_by_key
 
 
@@ -122,6 +123,19 @@ def bought_together_top(
     )
 
 
+def bought_together_every(
+    orders: DataFrame, product: DataFrame, count: int = 10, heads: int = HEADS, floor: int = HOT_ROWS
+) -> DataFrame:
+    """The ``count`` best companions of every product, with the counts of ``bought_together``.
+
+    The output grows with the products, and so does no list of pairs (``operators.companions``).
+    """
+    best = top_companions(orders.select("order_id", "product_id"), count, heads, floor)
+    return best.join(product.select("product_id", "product_name"), "product_id", "left").select(
+        "anchor_id", F.col("rank").cast("int").alias("rank"), "product_id", "product_name", "frequency"
+    )
+
+
 def companion_list(companions: DataFrame) -> DataFrame:
     """The two display columns of the drill-down."""
     return companions.select(

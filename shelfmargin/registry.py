@@ -227,4 +227,5 @@ QUERIES: dict[str, Query] = {
     "trap_top_frequency": lambda s, d: trap.top_frequency(_traps(s, d)),
     "bought_together": _companions(trap.bought_together, ANCHOR),
     "bought_together_top": _companions(trap.bought_together_top),
+    "bought_together_every": _companions(trap.bought_together_every),
 }
