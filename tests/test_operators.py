@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmargin.operators import quantiles
 from shelfmargin.operators.bins import histogram
 from shelfmargin.operators.facets import apply_facets, facet_options, single_choice
 from shelfmargin.operators.numbering import number_rows
@@ -95,6 +97,59 @@ def test_quantiles_of_large_and_constant_values(spark):
     assert got["v"] == pytest.approx(np.quantile(1.5e9 + np.arange(100), 0.95)) and got["c"] == 4.0
 
 
+def test_quantiles_beyond_one_sketch(spark):
+    """Many values, heavy ties, infinities and a constant, each over several brackets."""
+    rng = np.random.default_rng(8)
+    n = 60_000
+    table = {
+        "plain": rng.normal(0, 1e6, n),
+        "ties": rng.choice([1.0, 2.0, 3.0], n, p=[0.499, 0.002, 0.499]),
+        "hot": np.where(rng.random(n) < 0.34, 7.0, rng.normal(7, 1, n)),
+        "same": np.full(n, 2.5),
+        "ends": np.where(np.arange(n) % 3 == 0, -np.inf, rng.random(n)),
+    }
+    df = spark.createDataFrame(pd.DataFrame(table)).repartition(5)
+    wanted = {f"{name}_{q}": (name, q / 1000) for name in table for q in (0, 333, 500, 501, 950, 1000)}
+    got = exact_quantiles(df, wanted).first()
+    for output, (name, q) in wanted.items():
+        values, at = np.sort(table[name]), (n - 1) * q
+        low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+        expected = low if low == high else (np.ceil(at) - at) * low + (at - np.floor(at)) * high
+        assert got[output] == pytest.approx(expected, abs=1e-6), output
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """Even a sketch that is always wrong leads to the exact value."""
+    values = np.random.default_rng(9).permutation(30_000).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(3)
+    read, calls = quantiles._read_sketches, []
+
+    def wrong(session, asked):
+        calls.append(len(asked))
+        if len(calls) > 3:
+            return read(session, asked)
+        low, high = (0.9, 0.95) if len(calls) % 2 else (0.01, 0.02)
+        return read(session, [(s, low if k % 2 == 0 else high) for k, (s, _) in enumerate(asked)])
+
+    monkeypatch.setattr(quantiles, "_read_sketches", wrong)
+    assert exact_quantiles(df, {"a": ("v", 0.5), "b": ("v", 0.25)}).first() == (14999.5, 7499.75)
+    assert len(calls) > 3
+
+
+def test_quantiles_take_few_passes(sf_tables, monkeypatch):
+    passes, count = [], quantiles._count
+    monkeypatch.setattr(quantiles, "_count", lambda values, ranks: passes.append(len(ranks)) or count(values, ranks))
+    limits = exact_quantiles(sf_tables["orders"], {"p": ("profit", 0.95), "s": ("sales", 0.5)})
+    assert len(passes) <= 3
+    assert "Exchange" not in limits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_not_a_number_is_the_largest(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "v double")
+    got = exact_quantiles(df, {"a": ("v", 0.5), "b": ("v", 1.0)}).first()
+    assert got["a"] == 2.0 and np.isnan(got["b"])
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "id int, v double")
     assert tuple(exact_quantiles(df, {"q": ("v", 0.5)}).first()) == (None,)
