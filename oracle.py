@@ -212,6 +212,55 @@ def _histogram(column: str, bins: int) -> str:
       FROM binned GROUP BY bin"""
 
 
+def _chart(column: str, most: int) -> str:
+    """Round bins: the least width that needs at most so many."""
+
+    def place(value: str) -> str:
+        return f"floor(round_even({value} * down / (step * up) * 1e9, 0) / 1e9)"
+
+    return f"""WITH {_METRICS},
+      span AS (SELECT cast(min({column}) AS double) AS low, cast(max({column}) AS double) AS high FROM metrics),
+      powers AS (SELECT *, CASE WHEN high > low THEN floor(log10((high - low) / {most}.0)) ELSE 0 END AS power FROM span),
+      scales AS (SELECT low, high, pow(10.0, greatest(power, 0)) AS up, pow(10.0, greatest(-power, 0)) AS down FROM powers),
+      steps AS (SELECT *, unnest([1.0, 2.0, 5.0, 10.0, 20.0, 50.0]::DOUBLE[]) AS step FROM scales),
+      chosen AS (SELECT * FROM steps WHERE {place('high')} - {place('low')} < {most} ORDER BY step LIMIT 1),
+      binned AS (SELECT {place(f'cast({column} AS double)')} AS here, {place('low')} AS first_at, step, up, down
+                 FROM metrics, chosen WHERE {column} IS NOT NULL)
+      SELECT cast(here - first_at AS integer) AS bin, any_value(here * step * up / down) AS bin_start,
+             any_value((here + 1) * step * up / down) AS bin_end, count(*) AS row_count
+      FROM binned GROUP BY here, first_at"""
+
+
+_KPIS = f""",
+      totals AS (SELECT cast(sum(sales) AS double) AS total_sales, cast(sum(profit) AS double) AS total_profit,
+          count(*) AS total_orders, cast(sum(discount) AS double) / count(*) * 100 AS avg_discount
+        FROM discount_base),
+      rated AS (SELECT *, coalesce(CASE WHEN total_sales <> 0
+          THEN total_profit / total_sales * 100 END, 0) AS profit_margin FROM totals)
+      SELECT total_sales, total_profit, profit_margin, total_orders, avg_discount,
+             {_dollars('total_sales')} AS total_sales_text,
+             {_dollars('total_profit')} AS total_profit_text,
+             {_percent('profit_margin')} AS profit_margin_text,
+             format('{{:,}}', total_orders) AS total_orders_text,
+             {_percent('avg_discount')} AS avg_discount_text
+      FROM rated"""
+
+_CHOICES = {
+    "all": "true",
+    "chosen": "year(order_date) IN (1996, 1998) AND category IN ('SMALL', 'LARGE') AND region IN ('ASIA', 'EUROPE')",
+    "asia_1997": "year(order_date) = 1997 AND region = 'ASIA'",
+}
+
+
+def _for_choices(body: str) -> str:
+    """The direct query over the lines of each choice."""
+    whole = "FROM sales_lines),\ndiscount_base"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS choice, * FROM (WITH {_DISCOUNT.replace(whole, whole.replace(')', f' WHERE {where})', 1))} {body})"
+        for name, where in _CHOICES.items()
+    )
+
+
 def _options(category: str, region: str) -> str:
     return f"""WITH {_DISCOUNT}
       SELECT DISTINCT 'year' AS facet, cast(year AS varchar) AS option FROM discount_base
@@ -291,19 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "facet_options_scoped": _options(
         "category IN ('SMALL', 'LARGE')", "region IN ('ASIA', 'EUROPE')"
     ),
-    "discount_kpis": f"""WITH {_DISCOUNT},
-      totals AS (SELECT cast(sum(sales) AS double) AS total_sales, cast(sum(profit) AS double) AS total_profit,
-          count(*) AS total_orders, cast(sum(discount) AS double) / count(*) * 100 AS avg_discount
-        FROM discount_base),
-      rated AS (SELECT *, coalesce(CASE WHEN total_sales <> 0
-          THEN total_profit / total_sales * 100 END, 0) AS profit_margin FROM totals)
-      SELECT total_sales, total_profit, profit_margin, total_orders, avg_discount,
-             {_dollars('total_sales')} AS total_sales_text,
-             {_dollars('total_profit')} AS total_profit_text,
-             {_percent('profit_margin')} AS profit_margin_text,
-             format('{{:,}}', total_orders) AS total_orders_text,
-             {_percent('avg_discount')} AS avg_discount_text
-      FROM rated""",
+    "discount_kpis": f"WITH {_DISCOUNT}{_KPIS}",
     "product_summary": f"WITH {_DISCOUNT} SELECT * FROM products",
     "discount_range_summary": f"WITH {_DISCOUNT} SELECT * FROM ranges",
     "category_avg_discount": f"""WITH {_DISCOUNT}
@@ -457,6 +494,30 @@ ORACLE_SQL: dict[str, str] = {
              avg_profit_per_order AS "Avg Profit", profit_margin AS "Margin (%)",
              price_per_unit AS "Price/Unit", profit_per_unit AS "Profit/Unit"
       FROM hidden""",
+    "chart_frequency": _chart("frequency", 40),
+    "chart_avg_profit": _chart("avg_profit_per_order", 30),
+    "hidden_options": f"""WITH {_HIDDEN_BASE}
+      SELECT 'category' AS facet, 0 AS option_no, 'All' AS option
+      UNION ALL SELECT 'category', cast(row_number() OVER (ORDER BY category) AS integer), category
+        FROM (SELECT DISTINCT category FROM hidden_base WHERE category IS NOT NULL)
+      UNION ALL SELECT 'region', cast(row_number() OVER (ORDER BY region) AS integer), region
+        FROM (SELECT DISTINCT region FROM hidden_base WHERE region IS NOT NULL)""",
+    "cube_kpis": _for_choices(_KPIS),
+    "cube_product_summary": _for_choices("SELECT * FROM products"),
+    "cube_range_summary": _for_choices("SELECT * FROM ranges"),
+    "cube_category_discount": _for_choices(
+        "SELECT category, cast(sum(discount) AS double) / count(*) * 100 AS avg_discount FROM discount_base GROUP BY category"
+    ),
+    "cube_region_profit": _for_choices(
+        "SELECT region, cast(sum(profit) AS double) AS profit FROM discount_base GROUP BY region"
+    ),
+    "cube_monthly_trend": _for_choices(
+        "SELECT month_year, cast(sum(sales) AS double) AS sales, cast(sum(profit) AS double) AS profit "
+        "FROM discount_base GROUP BY month_year"
+    ),
+    "cube_correlation": _for_choices(
+        f"SELECT correlation, {_IMPACT} AS impact, coalesce({_fixed('value', 3)}, 'n/a') AS correlation_text FROM related"
+    ),
     "hist_frequency": _histogram("frequency", 40),
     "hist_avg_profit": _histogram("avg_profit_per_order", 30),
     "order_totals": f"""WITH {_BASKETS}

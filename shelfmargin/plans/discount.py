@@ -117,6 +117,11 @@ def kpis(lines: DataFrame) -> DataFrame:
         F.count("*").alias("total_orders"),
         _mean_discount().alias("avg_discount"),
     )
+    return kpi_texts(totals)
+
+
+def kpi_texts(totals: DataFrame) -> DataFrame:
+    """The totals with their margin and display texts."""
     margin = percent_or_zero(F.col("total_profit"), F.col("total_sales"))
     return totals.select(
         "total_sales",
@@ -184,9 +189,14 @@ def range_summary(lines: DataFrame) -> DataFrame:
     measured = (
         lines.where(F.col("range_no").isNotNull()).groupBy("range_no").agg(*_range_measures())
     )
+    return every_range(measured)
+
+
+def every_range(measured: DataFrame) -> DataFrame:
+    """Measures by ``range_no`` as the rows of all ranges."""
     zero = F.lit(0.0)
     return (
-        discount_ranges(lines.sparkSession)
+        discount_ranges(measured.sparkSession)
         .join(measured, "range_no", "left")
         .select(
             "range_no",
@@ -225,7 +235,7 @@ def monthly_trend(lines: DataFrame) -> DataFrame:
 MOMENTS = ("n", "sum_d", "sum_p", "sum_dp", "sum_dd", "sum_pp", "min_d", "max_d", "min_p", "max_p")
 
 
-def _moments() -> list[Column]:
+def moments() -> list[Column]:
     """Exact sums for the correlation of discount and profit; groups of them can be merged."""
     both = F.col("discount").isNotNull() & F.col("profit").isNotNull()
     d, p = (F.when(both, units(name)) for name in ("discount", "profit"))
@@ -238,7 +248,7 @@ def _moments() -> list[Column]:
     return [sums[name].alias(name) for name in MOMENTS]
 
 
-def _merged_moments() -> list[Column]:
+def merged_moments() -> list[Column]:
     merge = {"min": F.min, "max": F.max}
     return [merge.get(name[:3], F.sum)(name).alias(name) for name in MOMENTS]
 
@@ -263,7 +273,12 @@ def _impact(correlation: Column) -> Column:
 
 def correlation(lines: DataFrame) -> DataFrame:
     """The value is rounded for display alone; label and text come from the full value."""
-    value = lines.agg(*_moments()).select(_correlation().alias("value"))
+    return correlation_texts(lines.agg(*moments()))
+
+
+def correlation_texts(summed: DataFrame) -> DataFrame:
+    """Correlation, label and text of a row of moments."""
+    value = summed.select(_correlation().alias("value"))
     return value.select(
         rounded(F.col("value"), 6).alias("correlation"),
         _impact(F.col("value")).alias("impact"),
@@ -397,7 +412,7 @@ def conclusions(lines: DataFrame) -> DataFrame:
             F.count("*").alias("line_count"),
             F.sum(units("profit")).alias("profit_units"),
             F.sum(units("sales")).alias("sales_units"),
-            *_moments(),
+            *moments(),
             *_range_measures(),
         )
         .withColumn("profit_margin", percent_or_zero(c("total_profit"), c("total_sales")))
@@ -405,7 +420,7 @@ def conclusions(lines: DataFrame) -> DataFrame:
     picked = (
         level.agg(
             F.sum("line_count").alias("line_count"),
-            *_merged_moments(),
+            *merged_moments(),
             percent_or_zero(from_units(F.sum("profit_units")), from_units(F.sum("sales_units"))).alias("overall_margin"),
             key_of_max(c("range_no"), F.when(used, c("avg_profit"))).alias("optimal_no"),
             F.max(F.when(used, c("avg_profit"))).alias("optimal_profit"),

@@ -12,8 +12,8 @@ from shelfmargin.functions.choice import key_of_max
 from shelfmargin.functions.labels import percent_text, thousands
 from shelfmargin.functions.money import exact_sum, percent, ratio, rounded
 from shelfmargin.functions.names import ATTRIBUTES, UNKNOWN, attribute
-from shelfmargin.operators.bins import histogram
-from shelfmargin.operators.facets import apply_facets, single_choice
+from shelfmargin.operators.bins import histogram, nice_histogram
+from shelfmargin.operators.facets import ALL, apply_facets, facet_options, single_choice
 from shelfmargin.operators.numbering import number_rows
 from shelfmargin.operators.quantiles import exact_quantiles
 
@@ -87,6 +87,17 @@ def filter_base(
     return apply_facets(base, {"category": single_choice(category), "region": regions})
 
 
+def filter_options(base: DataFrame) -> DataFrame:
+    """``facet, option_no, option``: the values of the page's two filters in order.
+
+    The category filter takes one value or ``All``, its option 0; the region filter any number.
+    """
+    found = facet_options(base, ("category", "region"))
+    every = base.sparkSession.range(1).select(F.lit("category").alias("facet"), F.lit(0).alias("option_no"), F.lit(ALL).alias("option"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy("option"))
+    return every.unionByName(found.select("facet", place.alias("option_no"), "option")).orderBy("facet", "option_no")
+
+
 def unit_economics(base: DataFrame) -> DataFrame:
     """Margin, prices and per-order averages with two decimals; NULL for a zero divisor."""
     profit, sales = F.col("total_profit"), F.col("total_sales")
@@ -408,3 +419,12 @@ def frequency_histogram(metrics: DataFrame, bins: int = 40) -> DataFrame:
 
 def avg_profit_histogram(metrics: DataFrame, bins: int = 30) -> DataFrame:
     return histogram(metrics, "avg_profit_per_order", bins)
+
+
+def frequency_chart(metrics: DataFrame, most: int = 40) -> DataFrame:
+    """The frequency histogram with the round borders a chart shows."""
+    return nice_histogram(metrics, "frequency", most)
+
+
+def avg_profit_chart(metrics: DataFrame, most: int = 30) -> DataFrame:
+    return nice_histogram(metrics, "avg_profit_per_order", most)

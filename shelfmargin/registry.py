@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.dates import date_text
-from shelfmargin.plans import discount, etl, trap
+from shelfmargin.plans import discount, etl, facet_cube, trap
 from shelfmargin.plans import hidden_value as hidden
-from shelfmargin.session import cached
+from shelfmargin.session import cached, checkpointed
 from shelfmargin.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FACET_CHOICE = {"year": [1996, 1998], "category": ["SMALL", "LARGE"], "region": ["ASIA", "EUROPE"]}
+CUBE_CHOICES = {"all": {}, "chosen": FACET_CHOICE, "asia_1997": {"year": [1997], "region": ["ASIA"]}}
 HIDDEN_CHOICE = {"category": "SMALL", "regions": ["ASIA", "EUROPE"]}
 ANCHOR = 100
 LINE_ORDER = ("ori_product_id", "quantity", "sales", "discount", "shipping_cost")
@@ -41,6 +42,16 @@ def _products(analysis: Callable[[DataFrame], DataFrame]) -> Query:
     return _discount(lambda lines: analysis(discount.product_summary(lines)))
 
 
+def _cube(answer: Callable) -> Query:
+    """``answer`` for three choices of filters, from one cube."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cube = checkpointed(facet_cube.facet_cube(_discount_lines(spark, sf_dir)))
+        return facet_cube.for_choices(cube, CUBE_CHOICES, answer)
+
+    return query
+
+
 def _hidden_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.hidden_base(
         testbed.order_lines(spark, sf_dir, _HIDDEN_COLUMNS),
@@ -189,7 +200,15 @@ QUERIES: dict[str, Query] = {
     "top_products_by_profit": _products(lambda p: discount.top_products(p, "profit")),
     "low_profit_products": _products(discount.bottom_products),
     "high_sales_low_profit": _products(discount.high_sales_low_margin),
+    "cube_kpis": _cube(facet_cube.kpis),
+    "cube_product_summary": _cube(facet_cube.product_summary),
+    "cube_range_summary": _cube(facet_cube.range_summary),
+    "cube_category_discount": _cube(facet_cube.category_discount),
+    "cube_region_profit": _cube(facet_cube.region_profit),
+    "cube_monthly_trend": _cube(facet_cube.monthly_trend),
+    "cube_correlation": _cube(facet_cube.correlation),
     # hidden value
+    "hidden_options": lambda s, d: hidden.filter_options(_hidden_base(s, d)),
     "hidden_base": _hidden_base,
     "hidden_metrics": _metrics,
     "hidden_thresholds": _with_limits(lambda _, limits: limits),
@@ -218,6 +237,8 @@ QUERIES: dict[str, Query] = {
     "hidden_drilldown": _segmented(hidden.drilldown),
     "hist_frequency": lambda s, d: hidden.frequency_histogram(_metrics(s, d)),
     "hist_avg_profit": lambda s, d: hidden.avg_profit_histogram(_metrics(s, d)),
+    "chart_frequency": lambda s, d: hidden.frequency_chart(_metrics(s, d)),
+    "chart_avg_profit": lambda s, d: hidden.avg_profit_chart(_metrics(s, d)),
     # trap products
     "order_totals": lambda s, d: trap.order_totals(testbed.order_lines(s, d, _ITEM_COLUMNS)),
     "order_basket_totals": lambda s, d: trap.basket_totals(

@@ -51,3 +51,9 @@ def test_matches_sql(spark, duck, sf_dir, name):
 
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_headlines_are_queries():
+    import bench
+
+    assert set(bench.HEADLINES) <= set(QUERIES)
