@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-SLICE_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -135,7 +136,9 @@ def map_batches(
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    names = schema.names
+    # Spark resolves the names on their way in and out, so they travel as plain ones
+    plain = StructType([StructField(f"c{k}", field.dataType) for k, field in enumerate(schema.fields)])
+    names = plain.names
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +146,13 @@ def map_batches(
                 for columns in function(batch):
                     yield pa.RecordBatch.from_arrays(list(columns), names)
 
-    return ready(df).mapInArrow(over, schema)
+    sent = ready(df).toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return sent.mapInArrow(over, plain).toDF(*schema.names)
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever characters the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,10 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfmargin.llm.arrays import map_batches
+from shelfmargin.llm.arrays import column, fresh, map_batches
 
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000  # of each cache; about 130 bytes an entry
 CACHED_CHARS = 64
 FANOUT = 32
 _NO_RANK = 1 << 30
@@ -93,7 +94,10 @@ class Codec:
 
     def _packed(self, part: str) -> bytes:
         pieces = self.pattern.findall(part)
-        packed = b"".join([self.pieces.get(piece) or self._piece(piece) for piece in pieces])
+        if len(pieces) == 1:  # the part alone goes into the cache of parts
+            packed = array("I", merge(part.encode(), self.ranks)).tobytes()
+        else:
+            packed = b"".join([self.pieces.get(piece) or self._piece(piece) for piece in pieces])
         if len(part) <= CACHED_CHARS:
             if len(self.cache) >= CACHED_PIECES:
                 self.cache.clear()
@@ -149,16 +153,16 @@ def encoded(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text: str = "
     Null text counts as empty and has no ids. Every row is encoded whole; rows are streamed,
     nothing is shuffled.
     """
-    return _apply(docs, text, "binary", lambda value: _codec(ranks).encode(value or ""), "ids")
+    return _apply(docs, text, lambda value: _codec(ranks).encode(value or ""), "ids")
 
 
 def decoded(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", ids: str = "ids") -> DataFrame:
     """``docs`` with ``decoded``, the bytes of ``ids`` (null: empty)."""
-    return _apply(docs, ids, "binary", lambda value: _codec(ranks).decode(value or b""), "decoded")
+    return _apply(docs, ids, lambda value: _codec(ranks).decode(value or b""), "decoded")
 
 
-def _apply(docs: DataFrame, column: str, kind: str, function, name: str) -> DataFrame:
-    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+def _apply(docs: DataFrame, source: str, function: Callable, name: str) -> DataFrame:
+    others = [column(c) for c in docs.columns if c.lower() != name.lower()]
     count = len(others)
 
     def rows(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
@@ -168,9 +172,8 @@ def _apply(docs: DataFrame, column: str, kind: str, function, name: str) -> Data
             made = pa.array([function(v) for v in part.column(count).to_pylist()], pa.large_binary()).cast(pa.binary())
             yield [*[part.column(k) for k in range(count)], made]
 
-    taken = docs.select(*others, F.col(column).alias("_value"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]] + [f"{name} {kind}"])
-    return map_batches(taken, rows, schema)
+    taken = docs.select(*others, column(source).alias(fresh(docs, "value")))
+    return map_batches(taken, rows, T.StructType([*taken.schema.fields[:-1], T.StructField(name, T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:

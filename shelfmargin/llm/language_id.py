@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfmargin.llm.arrays import cut, fresh, map_batches, powers, ready, slices, splitmix, utf8
+from shelfmargin.llm.arrays import column, cut, fresh, map_batches, powers, ready, slices, splitmix, utf8
 
 BUCKETS = 1 << 15
 LONGEST = 3
@@ -145,9 +146,9 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, text: str = "
             ]
 
     value = fresh(docs, "value")
-    taken = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias(value))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]]
-    return map_batches(taken, rows, ", ".join([*fields, "lang_pred string", "score double"]))
+    taken = docs.select(*[column(c) for c in others], F.col(text).alias(value))
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return map_batches(taken, rows, T.StructType([*taken.schema.fields[:-1], *made]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -167,7 +168,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     names, matrix = train(docs.where(~held_out()))
     kept = predict(docs, names, matrix)
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return kept.where(good).select(*docs.columns)
+    return kept.where(good).select(*[column(c) for c in docs.columns])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

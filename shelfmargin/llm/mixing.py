@@ -7,8 +7,8 @@ way, larger classes weighing more per word, so inclusion chances are unequal.
 
 A document with expected copies e is taken floor(e) times for certain. For the remaining
 fraction p, documents are ranked by the odds of a random number divided by the odds of p, and
-the first in that order are taken as long as they fit into the words the source still needs;
-the largest later document that fits the gap is taken too.
+the first in that order are taken as long as they fit into the words the source still needs; then
+the largest later documents that fit what is left are taken until none fits.
 
 The ranking needs no sort of a source: ranks fall into ``BUCKETS`` buckets whose words are
 added up, and only the bucket in which a source reaches its goal is ordered exactly. All steps
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmargin.llm.arrays import fresh
+from shelfmargin.llm.arrays import column, fresh
 from shelfmargin.session import checkpointed
 
 LIMIT = 3
@@ -95,6 +95,56 @@ def _salted(few: DataFrame) -> DataFrame:
     return few.withColumn("few_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _gap_fillers(rows: DataFrame) -> DataFrame:
+    """``fill_source, fill_odds, fill_id, fill_size``: later documents that fill what the order left open.
+
+    The order stops at the first document that is too large for the words a source still needs. Of
+    the documents after it the largest that fits is taken, then the largest that fits the rest, until
+    none fits. Equal rows count together. How many of each number of words are taken follows from one
+    list per source with as many entries as there are numbers of words; of each number the
+    last in the order are taken.
+    """
+    open_ = F.col("odds").isNotNull() & ~F.col("taken") & (F.col("size") > 0)
+    units = (
+        rows.where(open_ & (F.col("size") <= F.col("gap")))
+        .groupBy("source", "odds", "doc_id", "size")
+        .agg((F.count("*") * F.col("size")).alias("words"), F.max("gap").alias("gap"))
+        .where(F.col("words") <= F.col("gap"))
+    )
+    lists = (
+        units.groupBy("source", "words")
+        .agg(F.count("*").alias("held"), F.max("gap").alias("gap"))
+        .groupBy("source")
+        .agg(F.sort_array(F.collect_list(F.struct("words", "held")), False).alias("sizes"), F.max("gap").alias("gap"))
+    )
+
+    def step(state: Column, one: Column) -> Column:
+        number = F.least(one["held"], F.floor(state["gap"] / one["words"]))
+        more = F.concat(state["takes"], F.array(F.struct(one["words"].alias("words"), number.alias("number"))))
+        return F.struct(
+            (state["gap"] - number * one["words"]).alias("gap"),
+            F.when(number > 0, more).otherwise(state["takes"]).alias("takes"),
+        )
+
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<words:bigint,number:bigint>>").alias("takes"))
+    takes = checkpointed(
+        lists.select("source", F.explode(F.aggregate("sizes", start, step, lambda state: state["takes"])).alias("take")).select(
+            F.col("source").alias("of"), F.col("take.words").alias("take_words"), F.col("take.number").alias("number")
+        )
+    )
+    most = takes.agg(F.max("number")).first()[0] or 0  # one number: lets every task keep that many rows of a group
+    last = Window.partitionBy("source", "words").orderBy(F.desc("odds"), F.desc("doc_id"), F.desc("size"))
+    return (
+        units.join(takes, F.col("source").eqNullSafe(F.col("of")) & (F.col("words") == F.col("take_words")))
+        .withColumn("place", F.row_number().over(last))
+        .where((F.col("place") <= most) & (F.col("place") <= F.col("number")))
+        .select(
+            F.col("source").alias("fill_source"), F.col("odds").alias("fill_odds"),
+            F.col("doc_id").alias("fill_id"), F.col("size").alias("fill_size"),
+        )
+    )
+
+
 def mix(sizes: DataFrame) -> DataFrame:
     """``sizes`` (``doc_id, source, size``) with ``source_size, target, copies``.
 
@@ -176,25 +226,27 @@ def mix(sizes: DataFrame) -> DataFrame:
         | (place < F.col("edge_bucket"))
         | F.coalesce((place == F.col("edge_bucket")) & (F.struct("odds", "doc_id", "size") <= F.col("cut")), F.lit(False))
     )
-    rows = (
-        ranked.join(_salted(ends), F.col("source").eqNullSafe(F.col("edge_source")) & salt, "left")
-        .drop("few_salt")
-        .withColumn("taken", taken)
-    )
-    # the order stops at the first document that is too large; the largest that still fits fills the gap
-    fill = (
-        rows.where(F.col("odds").isNotNull() & ~F.col("taken") & (F.col("size") <= F.col("gap")))
-        .groupBy("source")
-        .agg(F.max(F.struct("size", "odds", "doc_id")).alias("fill"))
-        .select(F.col("source").alias("fill_source"), "fill")
+    rows = checkpointed(
+        ranked.join(_salted(ends), F.col("source").eqNullSafe(F.col("edge_source")) & salt, "left").select(
+            "doc_id", "source", "size", "salt", "odds", "gap", taken.alias("taken"),
+            F.coalesce("certain", F.lit(0).cast("long")).alias("certain"),
+        )
     )
-    filling = F.coalesce(F.struct("size", "odds", "doc_id").eqNullSafe(F.col("fill")) & ~F.col("taken"), F.lit(False))
-    rows = rows.join(_salted(fill), F.col("source").eqNullSafe(F.col("fill_source")) & salt, "left").select(
+    fill = _gap_fillers(rows)
+    filling = F.col("fill_size").isNotNull() & ~F.col("taken")
+    rows = rows.join(
+        fill,
+        F.col("source").eqNullSafe(F.col("fill_source"))
+        & F.col("doc_id").eqNullSafe(F.col("fill_id"))
+        & (F.col("odds") == F.col("fill_odds"))
+        & (F.col("size") == F.col("fill_size")),
+        "left",
+    ).select(
         "doc_id",
         "source",
         "size",
         "salt",
-        (F.coalesce("certain", F.lit(0).cast("long")) + F.when(F.col("taken") | filling, 1).otherwise(0)).cast("int").alias("copies"),
+        (F.col("certain") + F.when(F.col("taken") | filling, 1).otherwise(0)).cast("int").alias("copies"),
     )
     to = targets.withColumnRenamed("source", "target_source")
     return rows.join(_salted(to), F.col("source").eqNullSafe(F.col("target_source")) & salt).drop(
@@ -221,7 +273,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(other)) & (F.col(size) == F.col(third))
     )
     joined = docs.withColumn(size, word_count(F.col("text"))).join(chosen, same)
-    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
+    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*[column(c) for c in docs.columns])
 
 
 def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:
@@ -233,7 +285,7 @@ def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH sized AS (
+WITH RECURSIVE sized AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), totals AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -290,12 +342,19 @@ WITH sized AS (
 ), gaps AS (
     SELECT source, CASE WHEN sum(size) FILTER (o IS NOT NULL) >= max(need)
         THEN max(need) - coalesce(max(filled) FILTER (o IS NOT NULL AND filled <= need), 0) END AS gap FROM run GROUP BY source
-), fills AS (
-    SELECT r.source, max({'size': size, 'r': r, 'doc_id': doc_id}) AS fill FROM run r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
-    WHERE o IS NOT NULL AND filled > need AND size <= gap GROUP BY r.source
+), rest AS (
+    SELECT DISTINCT r.source, {'words': CAST(words AS BIGINT), 'r': r, 'doc_id': doc_id, 'size': size} AS unit
+    FROM run r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
+    WHERE o IS NOT NULL AND filled > need AND size > 0 AND words <= gap
+), picks AS (
+    SELECT g.source, CAST(g.gap AS BIGINT) - max(unit).words AS gap, max(unit) AS unit
+    FROM gaps g JOIN rest t ON t.source IS NOT DISTINCT FROM g.source GROUP BY g.source, g.gap
+    UNION ALL
+    SELECT p.source, p.gap - max(t.unit).words, max(t.unit) FROM picks p JOIN rest t
+        ON t.source IS NOT DISTINCT FROM p.source AND t.unit < p.unit AND t.unit.words <= p.gap GROUP BY p.source, p.gap
 )
 SELECT doc_id, size, t.source_size, t.target,
-    CAST(size * (coalesce(certain, 0) + CASE WHEN o IS NOT NULL AND (filled <= need
-        OR coalesce(f.fill = {'size': size, 'r': r.r, 'doc_id': doc_id}, false)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM run r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN fills f ON r.source IS NOT DISTINCT FROM f.source
+    CAST(size * (coalesce(certain, 0) + CASE WHEN o IS NOT NULL AND (filled <= need OR p.unit IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+LEFT JOIN picks p ON r.source IS NOT DISTINCT FROM p.source AND o IS NOT NULL AND p.unit.r = r.r AND p.unit.doc_id IS NOT DISTINCT FROM doc_id AND p.unit.size = size
 """

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfmargin.llm.arrays import cut, fresh, map_batches, ready, shingle_sets, slices, utf8
+from shelfmargin.llm.arrays import column, cut, fresh, map_batches, ready, shingle_sets, slices, utf8
 from shelfmargin.llm.components import components
 from shelfmargin.session import checkpointed
 
@@ -75,7 +76,8 @@ def may_be_near(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
 def sketches(docs: DataFrame, text: str, keep: tuple[str, ...], width: int = WORDS) -> DataFrame:
     """Columns ``keep`` plus ``n_shingles``, ``class`` (digest of the set; null if empty) and
     ``sketch`` (little-endian 64-bit hashes in ascending order)."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = [docs.schema[name] for name in keep]
+    made = T.StructType.fromDDL("n_shingles long, class binary, sketch binary")
 
     def rows(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         data, offsets = utf8(batch.column(len(keep)))
@@ -89,8 +91,7 @@ def sketches(docs: DataFrame, text: str, keep: tuple[str, ...], width: int = WOR
                 pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
             ]
 
-    schema = ", ".join([*[f"{c} {fields[c]}" for c in keep], "n_shingles long, class binary, sketch binary"])
-    return map_batches(docs.select(*keep, text), rows, schema)
+    return map_batches(docs.select(*keep, text), rows, T.StructType([*kept, *made.fields]))
 
 
 def _buckets(values: np.ndarray, bits: int) -> np.ndarray:
@@ -122,9 +123,9 @@ def parity_map(members: np.ndarray) -> np.ndarray:
 
 
 def list_entries(
-    sets: DataFrame, values: str, overlap: Callable[[int], int], keep: tuple[str, ...] = (), bits: int = BUCKET_BITS
+    sets: DataFrame, values: str, overlap: Callable[[int], int], bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """``value, left, class`` and ``keep``: the rarest values of each row's binary ``values``.
+    """``value, left, class``: the rarest values of each row's binary ``values``.
 
     ``left`` is how many values of the row are not before this one in the common order.
 
@@ -133,7 +134,6 @@ def list_entries(
     order gives the same links; this one keeps frequent values out of the lists.
     """
     counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets.select(values), bits))
-    kinds = dict(sets.dtypes)
 
     def entries(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         held = counts.value
@@ -146,10 +146,9 @@ def list_entries(
             owners.append(np.full(len(chosen), row, np.int32))
             left.append(np.arange(len(found), len(found) - len(chosen), -1))
         index = pa.array(np.concatenate(owners))
-        yield [pa.array(np.concatenate(picked)), pa.array(np.concatenate(left)), *[batch.column(k).take(index) for k in range(2, 3 + len(keep))]]
+        yield [pa.array(np.concatenate(picked)), pa.array(np.concatenate(left)), batch.column(2).take(index)]
 
-    schema = ", ".join(["value long, left long, class long", *[f"{name} {kinds[name]}" for name in keep]])
-    return map_batches(sets.select("n_shingles", values, "class", *keep), entries, schema)
+    return map_batches(sets.select("n_shingles", values, "class"), entries, "value long, left long, class long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -277,11 +276,8 @@ def near_duplicates(
     unsettled = checkpointed(
         _mixed(placed(shared.where(F.col("members") > 2).select("value", "class"))).select("class").distinct()
     )
-    exact = list_entries(
-        whole.join(unsettled, "class", "left_semi").withColumn("n_shingles", (F.octet_length("members") / 8).cast("long")), "members", exact_overlap,
-        ("n_shingles", *PARITY), EXACT_BITS,
-    )
-    exact = checkpointed(exact)
+    sized = whole.join(unsettled, "class", "left_semi").withColumn("n_shingles", (F.octet_length("members") / 8).cast("long"))
+    exact = checkpointed(list_entries(sized, "members", exact_overlap, EXACT_BITS))
     # sets of these sizes must share 3/7 of their sum; a pair's first shared value shows whether they still can
     fits = F.least("la", "lb") * (100 + SIMILARITY) >= (F.col("na") + F.col("nb")) * SIMILARITY
     # and at most 1/7 of their sum may stand in one of them alone
@@ -294,7 +290,8 @@ def near_duplicates(
         names |= {name: f"{name}{x}" for name in PARITY}
         return rows.select("value", *[F.col(name).alias(other) for name, other in names.items()])
 
-    listed = _mixed(placed(exact))
+    # sizes and maps join the few rows of mixed lists, not all rows of the lists
+    listed = _mixed(placed(exact)).join(sized.select("class", "n_shingles", *PARITY), "class")
     rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits & alike)
     rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
     links = checkpointed(first.unionAll(_confirmed(rest, whole)).distinct())
@@ -351,4 +348,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         .join(keeper, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash)))
         .dropDuplicates(["doc_id", text_hash])
     )
-    return copies.select(*docs.columns).unionAll(marked.where(wordless).select(*docs.columns))
+    columns = [column(c) for c in docs.columns]
+    return copies.select(*columns).unionAll(marked.where(wordless).select(*columns))

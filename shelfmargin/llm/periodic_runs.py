@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmargin.llm.arrays import fresh, map_batches
+from shelfmargin.llm.arrays import column, fresh, map_batches
 from shelfmargin.llm.quality_rules import words_of
 
 LEAST_WORDS = 6
@@ -124,7 +124,7 @@ def periodic_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ("n_words", "runs", "collapsed")
     others = [field for field in docs.schema if field.name.lower() not in made]
     held = fresh(docs, "whole_text")
-    sent = docs.select(*[F.col(f"`{_quoted(f.name)}`") for f in others], F.col(f"`{_quoted(text)}`").cast("string").alias(held))
+    sent = docs.select(*[column(f.name) for f in others], column(text).cast("string").alias(held))
     schema = T.StructType(
         [
             *others,
@@ -153,10 +153,6 @@ def periodic_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(sent, find, schema)
 
 
-def _quoted(name: str) -> str:
-    return name.replace("`", "``")
-
-
 def strongest(runs: Column) -> Column:
     """The run with the greatest length / period, compared as whole products; the first on a tie.
 

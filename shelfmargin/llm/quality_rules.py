@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmargin.llm.arrays import fresh
+from shelfmargin.llm.arrays import column, fresh
 
 WINDOW = 8
 _SPACES = "[\\x20\\x09-\\x0D]+"
@@ -85,7 +85,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
     others = [c for c in docs.columns if c.lower() not in names]
     words, hashes, lines, folded, raw = (fresh(docs, n) for n in ("q_words", "q_hashes", "q_lines", "q_low", "q_text"))
-    base = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text), F.lit("")).alias(raw))
+    base = docs.select(*[column(c) for c in others], F.coalesce(F.col(text), F.lit("")).alias(raw))
     split = base.withColumn(words, words_of(F.col(raw))).withColumn(
         lines, F.filter(F.split(raw, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     )
@@ -94,7 +94,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     repeats = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _covered(F.col(hashes), WINDOW)).otherwise(0)
     return hashed.select(
-        *[F.col(f"`{c}`") for c in others],
+        *[column(c) for c in others],
         F.size(words).cast("long").alias("n_words"),
         F.coalesce(F.length(F.array_join(words, "")), F.lit(0)).cast("long").alias("word_chars"),
         F.regexp_count(raw, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),

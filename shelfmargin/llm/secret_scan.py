@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmargin.llm.arrays import fresh
+from shelfmargin.llm.arrays import column, fresh
 
 
 def either_case(words: str) -> str:
@@ -211,8 +211,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     empty array; repeated rows and ids are rows of their own, and an empty table gives an empty one.
     """
     held = fresh(docs, "scanned_text")
-    others = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != "secrets"]
-    source = docs.select(*others, F.coalesce(F.col("`" + text.replace("`", "``") + "`").cast("string"), F.lit("")).alias(held))
+    others = [column(c) for c in docs.columns if c.lower() != "secrets"]
+    source = docs.select(*others, F.coalesce(column(text).cast("string"), F.lit("")).alias(held))
     raw = F.col(held)
     lists = [matches(raw, pattern, group, least) for _, pattern, group, least in BASE]
     lists += [_of_class(raw, symbols, window, millibits) for _, symbols, window, millibits in CLASSES]

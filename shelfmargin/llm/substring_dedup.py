@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmargin.llm.arrays import BYTE_KEYS, SPACE, cut, fresh, map_batches, slices, splitmix, utf8
+from shelfmargin.llm.arrays import BYTE_KEYS, SPACE, column, cut, fresh, map_batches, slices, splitmix, utf8
 
 REACH = 20
 LEAST_BYTES = 64
@@ -164,7 +164,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         cleaned = cleaned.withColumn(
             "n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
         )
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*[column(c) for c in docs.columns])
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmargin.llm import byte_bpe, context_tree, exact_topk, language_id, license_scan, mixing, near_dedup
-from shelfmargin.llm import quality_rules, substring_dedup, warc_archive
+from shelfmargin.llm import periodic_runs, quality_rules, secret_scan, substring_dedup, warc_archive
 from shelfmargin.session import new_folder
 
 
@@ -32,12 +32,15 @@ PER_ROW = {
     "quality": quality_rules.judged,
     "score": lambda docs: context_tree.score_texts(docs, docs),
     "license": license_scan.scan,
+    "secrets": secret_scan.scan,
+    "runs": periodic_runs.periodic_runs,
 }
 STAGES = {
     "accepted": language_id.accepted,
     "one_of_each": near_dedup.one_of_each,
     "cut": lambda docs: substring_dedup.without_spans(docs, substring_dedup.repeated_spans(docs)),
     "mixed": mixing.mixed,
+    "encoded": lambda docs: byte_bpe.encoded(docs).drop("ids"),
 }
 CLASHING = (
     "text_hash score size value ids component kept label tokens words line lang_pred n_words copies salt word n class "
@@ -63,6 +66,25 @@ def test_clashing_columns(documents, name):
     assert operator(clash).count() == operator(docs).count()
 
 
+@pytest.mark.parametrize("name", [*PER_ROW, *STAGES])
+def test_typed_columns(documents, name):
+    """Extra columns of any type and name, and ids that are decimals."""
+    docs = documents(ODD_ROWS[:4] + ODD_ROWS[-1:])
+    typed = docs.withColumns(
+        {
+            "doc_id": F.col("doc_id").cast("decimal(10,0)"),
+            "a,b": F.lit(1),
+            "_value": F.lit("x"),
+            "with.dot": F.struct(F.lit(1).alias("a"), F.lit("y").alias("b")),
+            "money": F.lit("2.50").cast("decimal(10,2)"),
+            "map": F.create_map(F.lit("k"), F.array(F.lit(1))),
+        }
+    )
+    operator = {**PER_ROW, **STAGES}[name]
+    assert operator(typed).count() == operator(docs).count()
+    assert operator(typed.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", STAGES)
 def test_stage_keeps_columns(documents, name):
     docs = documents(ODD_ROWS)

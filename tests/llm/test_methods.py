@@ -189,14 +189,26 @@ def test_repeated_spans_brute_force(spark, sf_dir, rows):
 def test_mix_near_targets(spark, sf_dir, rows):
     source = {r["doc_id"]: r["source"] for r in rows}
     taken, target, size = Counter(), {}, Counter()
-    for r in QUERIES["op1_pareto_mix"](spark, sf_dir).collect():
+    table = QUERIES["op1_pareto_mix"](spark, sf_dir).collect()
+    for r in table:
         assert 0 <= r.taken <= 3 * r.size
         taken[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
         size[source[r.doc_id]] += r.size
     assert math.isclose(sum(target.values()), sum(size.values()))
     assert all(target[s] <= 3 * size[s] + 1e-6 for s in target)
-    assert sum(abs(taken[s] - target[s]) for s in target) <= 0.15 * sum(target.values())
+    classes = {}  # copies of the documents of a source with equally long sizes: drawn ones differ by one
+    for r in table:
+        if r.size:
+            classes.setdefault((source[r.doc_id], r.size.bit_length()), []).append((r.taken // r.size, r.size))
+    unused = {}
+    for (s, _), held in classes.items():
+        low = min(held)[0]
+        if low < max(held)[0]:
+            unused[s] = min(unused.get(s, math.inf), min(size for copies, size in held if copies == low))
+    for s in target:
+        off = abs(taken[s] - target[s])
+        assert off <= 1 or off <= 0.02 * target[s] or off < unused.get(s, math.inf), (s, taken[s], target[s])
 
 
 def brute_tree(pairs):
