@@ -3,12 +3,15 @@
 A gear hash rolls over the last 16 bytes. A position is a boundary when its hash is the least
 within ``REACH`` bytes on both sides, moved on to the next white space, so chunks are whole
 words and depend on nearby bytes only: text inserted before a passage does not move the
-boundaries inside it. Chunks are about 45 bytes long. Chunks with equal digests are equal
-text; the first by (doc_id, text hash, position) is kept, all others are repeats.
-
-Consecutive repeats form a span. Spans shorter than ``LEAST_BYTES`` are left alone, because a
-few common words repeat by chance. A passage of more than 50 words has whole chunks inside
-whatever stands around it; up to one chunk at either end of a passage stays.
+boundaries inside it. Where no white space follows within ``FAR`` bytes, as in Chinese or in data,
+the boundary is the next start of a character. Chunks are about 45 bytes long. Chunks with equal
+digests are equal text; the first by (doc_id, text hash, position) is kept, all others are repeats.
+
+Consecutive repeats form a span. Spans with fewer than ``LEAST_WORDS`` words and ``LEAST_BYTES``
+bytes are left alone, because a phrase of common words repeats by chance, the more so the larger the
+corpus. East Asian characters and others of four bytes count as words. A passage of more than 50
+words has whole chunks inside whatever stands around it; up to one chunk of some ten words at either
+end of a passage stays.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from shelfmargin.llm.arrays import BYTE_KEYS, SPACE, column, cut, fresh, map_batches, slices, splitmix, utf8
 
 REACH = 20
-LEAST_BYTES = 64
+LEAST_WORDS = 20
+LEAST_BYTES = 160
+FAR = 64
 _PAD = 64
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -55,7 +60,22 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     found = np.flatnonzero((marks[places] < before) & (marks[places] <= after)) + 1
     spaces = np.append(np.flatnonzero(SPACE[data]), len(data))
     ends = offsets[np.searchsorted(offsets, found - 1, "right")]
-    return np.unique(np.minimum(spaces[np.searchsorted(spaces, found)], ends))
+    blank = np.minimum(spaces[np.searchsorted(spaces, found)], ends)
+    character = found.copy()
+    for _ in range(3):  # a character has at most three bytes after its first
+        inside = character < ends
+        inside[inside] = (data[character[inside]] & 0xC0) == 0x80
+        character[inside] += 1
+    return np.unique(np.where(blank - found > FAR, character, blank))
+
+
+def word_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each byte whether a word begins there; ``starts`` begin words of their own."""
+    inside = ~SPACE[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = inside[:-1]
+    after[starts] = False
+    return (inside & ~after) | (data >= 0xE3)
 
 
 def chunk_rows(text: bytes) -> list[tuple[int, int]]:
@@ -67,7 +87,7 @@ def chunk_rows(text: bytes) -> list[tuple[int, int]]:
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_hash, start, stop, digest`` of each chunk that holds a word."""
+    """``doc_id, text_hash, start, stop, words, digest`` of each chunk that holds a word."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         data, offsets = utf8(batch.column(2))
@@ -77,8 +97,9 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 continue
             edges = np.unique(np.concatenate((boundaries(part, places), places)))
             starts, stops = edges[:-1], edges[1:]
-            worded = np.add.reduceat((~SPACE[part]).astype(np.int64), starts) > 0
-            starts, stops = starts[worded], stops[worded]
+            words = np.add.reduceat(word_starts(part, starts).astype(np.int64), starts)
+            worded = words > 0
+            starts, stops, words = starts[worded], stops[worded], words[worded]
             owner = np.searchsorted(places, starts, "right") - 1
             held = part.tobytes()
             digests = [
@@ -90,15 +111,17 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 batch.column(1).take(index),
                 pa.array((starts - places[owner]).astype(np.int64)),
                 pa.array((stops - places[owner]).astype(np.int64)),
+                pa.array(words.astype(np.int32)),
                 pa.array(digests, pa.binary()),
             ]
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return map_batches(source, rows, f"doc_id {dict(source.dtypes)['doc_id']}, text_hash long, start long, stop long, digest binary")
+    return map_batches(source, rows, f"doc_id {dict(source.dtypes)['doc_id']}, text_hash long, start long, stop long, words int, digest binary")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, text_hash, start, stop, n_chunks, first_doc_ids``: repeated passages of each row.
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = LEAST_WORDS, least: int = LEAST_BYTES) -> DataFrame:
+    """``doc_id, text_hash, start, stop, n_chunks, first_doc_ids``: repeated passages of each row, of at
+    least ``words`` words or ``least`` bytes.
 
     ``start`` and ``stop`` are byte positions in the UTF-8 text; ``first_doc_ids`` are the
     documents that keep the first copy of the chunks. Rows equal in id and text count as one
@@ -118,7 +141,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         every.join(firsts, "digest")
         .where(here != F.col("first"))
         .groupBy("doc_id", "text_hash", "start", "stop")
-        .agg(F.min("first.doc_id").alias("first_id"))
+        .agg(F.min("first.doc_id").alias("first_id"), F.max("words").alias("words"))
     )
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     opens = F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1)
@@ -130,10 +153,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.min("start").alias("start"),
             F.max("stop").alias("stop"),
             F.count("*").alias("n_chunks"),
+            F.sum("words").alias("words"),
             F.array_sort(F.collect_set("first_id")).alias("first_doc_ids"),
         )
     )
-    return spans.where(F.col("stop") - F.col("start") >= least).drop("span")
+    enough = (F.col("words") >= words) | (F.col("stop") - F.col("start") >= least)
+    return spans.where(enough).drop("span", "words")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

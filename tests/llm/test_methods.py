@@ -153,7 +153,7 @@ def test_chunks_resist_insertions():
     for _ in range(200):
         texts = [f"{' '.join(word() for _ in range(rng.randint(0, 40)))} {passage} {' '.join(word() for _ in range(9))}".encode() for _ in range(2)]
         cut = [{t[a:b] for a, b in substring_dedup.chunk_rows(t)} for t in texts]
-        assert sum(map(len, cut[0] & cut[1])) >= substring_dedup.LEAST_BYTES
+        assert len(b" ".join(cut[0] & cut[1]).split()) >= substring_dedup.LEAST_WORDS
         for text in texts:
             assert b"".join(text[a:b] for a, b in substring_dedup.chunk_rows(text)) == text
 
@@ -171,7 +171,11 @@ def test_repeated_spans_brute_force(spark, sf_dir, rows):
             elif repeat:
                 run = [a, b]
                 spans.append(run)
-        expected[row["doc_id"]] = [tuple(s) for s in spans if s[1] - s[0] >= substring_dedup.LEAST_BYTES]
+        words = {(a, b): sum(len(text[x:y].split()) for x, y in substring_dedup.chunk_rows(text) if a <= x and y <= b) for a, b in spans}
+        expected[row["doc_id"]] = [
+            tuple(s) for s in spans
+            if s[1] - s[0] >= substring_dedup.LEAST_BYTES or words[tuple(s)] >= substring_dedup.LEAST_WORDS
+        ]
     got = {i: [] for i in expected}
     for r in QUERIES["op6_substring_dedup"](spark, sf_dir).orderBy("start").collect():
         got[r.doc_id].append((r.start, r.stop))
@@ -186,6 +190,22 @@ def test_repeated_spans_brute_force(spark, sf_dir, rows):
         assert r.text.encode() == left + text[at:]
 
 
+def test_passages_without_white_space(documents):
+    """Shared text of another script, and of data on one line, inside different text."""
+    rng = random.Random(6)
+    chinese = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    data = lambda n: "".join(rng.choice("0123456789abcdef,:{}") for _ in range(n))
+    shared, packed = chinese(90), data(400)
+    table = [(1, chinese(40) + shared + chinese(30)), (2, chinese(55) + shared + chinese(3)), (3, data(70) + packed), (4, data(9) + packed + data(50)), (5, chinese(200))]
+    got = {}
+    for r in substring_dedup.repeated_spans(documents(table)).collect():
+        got.setdefault(r.doc_id, []).append(table[r.doc_id - 1][1].encode()[r.start : r.stop].decode())
+    assert set(got) == {2, 4} and all(len(v) == 1 for v in got.values())
+    assert got[2][0] in shared and len(got[2][0]) >= 45 and got[4][0] in packed and len(got[4][0]) >= 160
+    for _, text in table:
+        assert b"".join(text.encode()[a:b] for a, b in substring_dedup.chunk_rows(text.encode())) == text.encode()
+
+
 def test_mix_near_targets(spark, sf_dir, rows):
     source = {r["doc_id"]: r["source"] for r in rows}
     taken, target, size = Counter(), {}, Counter()
