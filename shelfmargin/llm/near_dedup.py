@@ -45,6 +45,7 @@ MARGIN = 6.0
 LEADERS = 8
 BUCKET_BITS = 16
 EXACT_BITS = 20
+FEW_CLASSES = 1_000_000  # pairs of longs that may be broadcast, 16 MB
 PARITY = tuple(f"parity_{k}" for k in range(8))
 
 
@@ -123,17 +124,18 @@ def parity_map(members: np.ndarray) -> np.ndarray:
 
 
 def list_entries(
-    sets: DataFrame, values: str, overlap: Callable[[int], int], bits: int = BUCKET_BITS
+    sets: DataFrame, counted: DataFrame, values: str, overlap: Callable[[int], int], keep: tuple[str, ...] = (), bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """``value, left, class``: the rarest values of each row's binary ``values``.
+    """``value, left, class`` and the longs ``keep``: the rarest values of each row's binary ``values``.
 
     ``left`` is how many values of the row are not before this one in the common order.
 
     ``overlap(n_shingles)`` is the number of values shared with any near duplicate; the rarest
-    ``size - overlap + 1`` are listed. Values are ordered by how full their bucket is. Any common
-    order gives the same links; this one keeps frequent values out of the lists.
+    ``size - overlap + 1`` are listed. Values are ordered by how full their bucket is among the
+    values of ``counted``. Any common order gives the same links; this one keeps frequent values
+    out of the lists.
     """
-    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets.select(values), bits))
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(counted.select(values), bits))
 
     def entries(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         held = counts.value
@@ -146,9 +148,10 @@ def list_entries(
             owners.append(np.full(len(chosen), row, np.int32))
             left.append(np.arange(len(found), len(found) - len(chosen), -1))
         index = pa.array(np.concatenate(owners))
-        yield [pa.array(np.concatenate(picked)), pa.array(np.concatenate(left)), batch.column(2).take(index)]
+        yield [pa.array(np.concatenate(picked)), pa.array(np.concatenate(left)), *[batch.column(k).take(index) for k in range(2, 3 + len(keep))]]
 
-    return map_batches(sets.select("n_shingles", values, "class"), entries, "value long, left long, class long")
+    schema = ", ".join(["value long, left long, class long", *[f"{name} long" for name in keep]])
+    return map_batches(sets.select("n_shingles", values, "class", *keep), entries, schema)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -253,7 +256,7 @@ def near_duplicates(
         )
         .withColumn("class", F.monotonically_increasing_id())
     )
-    entries = list_entries(classes, "sketch", least_overlap).drop("left")
+    entries = list_entries(classes, classes, "sketch", least_overlap).drop("left")
     leader = F.min(F.struct(F.xxhash64("class", F.pmod("value", F.lit(LEADERS))).alias("order"), "class"))
     lists = entries.groupBy("value").agg(leader.alias("first"), F.count("*").alias("members"))
     shared = checkpointed(
@@ -276,8 +279,16 @@ def near_duplicates(
     unsettled = checkpointed(
         _mixed(placed(shared.where(F.col("members") > 2).select("value", "class"))).select("class").distinct()
     )
-    sized = whole.join(unsettled, "class", "left_semi").withColumn("n_shingles", (F.octet_length("members") / 8).cast("long"))
-    exact = checkpointed(list_entries(sized, "members", exact_overlap, EXACT_BITS))
+    # the sets are shuffled once more at most, and not at all while the classes to list are few
+    parts = checkpointed(placed(unsettled))
+    few = F.broadcast(parts) if parts.count() <= FEW_CLASSES else parts
+    size = (F.octet_length("members") / 8).cast("long").alias("n_shingles")
+    exact = checkpointed(
+        list_entries(
+            whole.select("class", "members", size).join(few, "class"), whole, "members", exact_overlap,
+            ("component",), EXACT_BITS,
+        )
+    )
     # sets of these sizes must share 3/7 of their sum; a pair's first shared value shows whether they still can
     fits = F.least("la", "lb") * (100 + SIMILARITY) >= (F.col("na") + F.col("nb")) * SIMILARITY
     # and at most 1/7 of their sum may stand in one of them alone
@@ -291,7 +302,7 @@ def near_duplicates(
         return rows.select("value", *[F.col(name).alias(other) for name, other in names.items()])
 
     # sizes and maps join the few rows of mixed lists, not all rows of the lists
-    listed = _mixed(placed(exact)).join(sized.select("class", "n_shingles", *PARITY), "class")
+    listed = _mixed(exact).join(whole.select("class", size, *PARITY), "class")
     rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits & alike)
     rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
     links = checkpointed(first.unionAll(_confirmed(rest, whole)).distinct())
