@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from shelfmargin.llm.arrays import column, cut, fresh, map_batches, ready, shingle_sets, slices, utf8
 from shelfmargin.llm.components import components
-from shelfmargin.session import checkpointed
+from shelfmargin.session import checkpointed, new_folder, removed
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -177,6 +177,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(fitting.select("a", "b", "sa", "sb", "na", "nb"), passing, "a long, b long")
 
 
+def _laid_down(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` as a table of the folder; compressed, other than a checkpoint."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
     """``class, members`` (sorted shingle hashes) and the parity map of the classes in ``needed``."""
 
@@ -198,12 +204,10 @@ def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: st
         .groupBy("text_hash")
         .agg(F.any_value(text).alias("whole"))
     )
-    return checkpointed(
-        map_batches(
-            texts.join(wanted, "text_hash").select("class", "whole"),
-            sets,
-            ", ".join(["class long, members binary", *[f"{name} long" for name in PARITY]]),
-        )
+    return map_batches(
+        texts.join(wanted, "text_hash").select("class", "whole"),
+        sets,
+        ", ".join(["class long, members binary", *[f"{name} long" for name in PARITY]]),
     )
 
 
@@ -244,9 +248,11 @@ def near_duplicates(
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
+    # tables of the steps in between; what is returned stands in checkpoints
+    folder = new_folder(docs.sparkSession, "near_dedup")
     # rows are cheap to make again from their texts; only the classes are laid down
     rows = sketches(source, "text", ("doc_id", "text_hash"), width).withColumnRenamed("class", "digest")
-    classes = checkpointed(
+    classes = _laid_down(
         rows.where(F.col("digest").isNotNull())
         .groupBy("digest")
         .agg(
@@ -254,22 +260,23 @@ def near_duplicates(
             F.any_value("sketch").alias("sketch"),
             F.min("text_hash").alias("text_hash"),
         )
-        .withColumn("class", F.monotonically_increasing_id())
+        .withColumn("class", F.monotonically_increasing_id()),
+        folder,
+        "classes",
     )
     entries = list_entries(classes, classes, "sketch", least_overlap).drop("left")
     leader = F.min(F.struct(F.xxhash64("class", F.pmod("value", F.lit(LEADERS))).alias("order"), "class"))
     lists = entries.groupBy("value").agg(leader.alias("first"), F.count("*").alias("members"))
-    shared = checkpointed(
-        entries.join(
-            lists.where(F.col("members") > 1).select("value", F.col("first.class").alias("leader"), "members"), "value"
-        )
-    )
+    several = lists.where(F.col("members") > 1).select("value", F.col("first.class").alias("leader"), "members")
+    shared = _laid_down(entries.join(several, "value"), folder, "shared")
     stars = shared.where(F.col("class") != F.col("leader")).select(
         F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")
     ).distinct()
     near_stars = checkpointed(_estimated(stars, classes))
     # texts are shuffled once, for the sets of all classes that share a list
-    whole = _whole_sets(shared.select("class").distinct(), classes, source, "text", width)
+    whole = _laid_down(
+        _whole_sets(shared.select("class").distinct(), classes, source, "text", width), folder, "whole"
+    )
     first = _confirmed(near_stars, whole)
     grouped = checkpointed(components(first, "a", "b").withColumnRenamed("node", "class"))
 
@@ -283,11 +290,13 @@ def near_duplicates(
     parts = checkpointed(placed(unsettled))
     few = F.broadcast(parts) if parts.count() <= FEW_CLASSES else parts
     size = (F.octet_length("members") / 8).cast("long").alias("n_shingles")
-    exact = checkpointed(
+    exact = _laid_down(
         list_entries(
             whole.select("class", "members", size).join(few, "class"), whole, "members", exact_overlap,
             ("component",), EXACT_BITS,
-        )
+        ),
+        folder,
+        "exact",
     )
     # sets of these sizes must share 3/7 of their sum; a pair's first shared value shows whether they still can
     fits = F.least("la", "lb") * (100 + SIMILARITY) >= (F.col("na") + F.col("nb")) * SIMILARITY
@@ -318,6 +327,7 @@ def near_duplicates(
         .join(placed_classes, "digest", "left")
         .drop("digest")
     )
+    removed(docs.sparkSession, folder)
     ids = placed_rows.where(F.col("component").isNotNull()).groupBy("component").agg(
         F.min("doc_id").alias("component_id")
     )
