@@ -30,7 +30,7 @@ PAGE = 64
 BLOCK = 4_096
 PIVOTS = 64
 SLACK = 1e-6
-_LARGEST = 1 << 26
+_MOST_SQUARE = 2.0**62  # of a norm: then every inner product, and every part of its sum, fits a long
 
 
 class Page:
@@ -82,7 +82,7 @@ def search(tree: bytes, queries: np.ndarray, ids: np.ndarray, k: int, least: np.
     bar = least.copy()  # a candidate below it is of no use
     points = np.hstack([queries.astype(float), np.zeros((n, 1))])
     lengths = (points * points).sum(axis=1)
-    exact = np.abs(queries).max(initial=0) < _LARGEST
+    exact = np.sqrt(lengths.max(initial=0.0)) * norm < 2.0**53  # no part of a product's sum is rounded
     slack = SLACK * (np.sqrt(lengths) + norm + 1)
 
     def reach(which: np.ndarray) -> np.ndarray:
@@ -156,11 +156,18 @@ def _packed(rows: DataFrame, key: list[str]) -> DataFrame:
 def whole_vectors(embeddings: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     """``id, whole``: floor(scale * x) of the vectors that have only finite components.
 
-    Null ids and vectors, null, infinite and not-a-number components, products beyond
-    2**62, and empty vectors take no part.
+    Null ids and vectors, null, infinite and not-a-number components, and empty vectors take no
+    part. Nor do vectors whose squares add up to 2**62 or more, because their scores need not fit a
+    long; below that no inner product exceeds the product of the norms.
     """
     parts = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    sound = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < 2.0**28, F.lit(False)))
+    square = F.aggregate(
+        F.transform(vector, lambda x: x.cast("double") * scale),
+        F.lit(0.0),
+        lambda total, x: total + F.greatest(F.abs(x), F.abs(F.floor(x).cast("double"))) ** 2,
+    )
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < 2.0**32, F.lit(False)))
+    sound = finite & (square < _MOST_SQUARE)
     return embeddings.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).where(
         sound
     ).select(F.col(vec_id).cast("long").alias("id"), parts.alias("whole"))

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from shelfmargin.llm.arrays import column, cut, fresh, map_batches, ready, shingle_sets, slices, utf8
 from shelfmargin.llm.components import components
-from shelfmargin.session import checkpointed, new_folder, removed
+from shelfmargin.session import checkpointed, new_folder, release_shuffles, removed
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -180,6 +180,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _laid_down(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` as a table of the folder; compressed, other than a checkpoint."""
     df.write.parquet(f"{folder}/{name}")
+    release_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -279,6 +280,7 @@ def near_duplicates(
     )
     first = _confirmed(near_stars, whole)
     grouped = checkpointed(components(first, "a", "b").withColumnRenamed("node", "class"))
+    release_shuffles(docs.sparkSession)
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(grouped, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -315,6 +317,7 @@ def near_duplicates(
     rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits & alike)
     rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
     links = checkpointed(first.unionAll(_confirmed(rest, whole)).distinct())
+    release_shuffles(docs.sparkSession)
 
     joined = components(links, "a", "b").withColumnRenamed("node", "class")
     placed_classes = (
