@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -72,16 +71,6 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that nothing refers to any more.
-
-    Its cleaner acts when the driver's garbage is collected, which a driver with a roomy heap
-    seldom does of itself; between the steps of a long job the files of all steps would add up.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so a retry reads the same rows.
 
