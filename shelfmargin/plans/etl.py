@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,22 @@ from pyspark.sql import functions as F
 from shelfmargin.functions.dates import date_text, strict_date
 from shelfmargin.functions.money import exact_sum, rounded
 from shelfmargin.functions.names import attribute_map, padded_key, split_name
+from shelfmargin.operators.checks import key_check, observed
 from shelfmargin.operators.numbering import number_rows
 from shelfmargin.operators.parts import ITEMS_PER_PART, collect_in_parts
 from shelfmargin.sources.files import read_sales_csv, read_table, rename_sales, write_table
 from shelfmargin.sources.testbed import ORDER_COLUMNS
+from shelfmargin.sources.versions import committed
 
 PRODUCT_KEY = ("product_name", "category", "sub_category")
+OUTPUTS = {
+    "customer": "csv",
+    "product": "csv",
+    "location": "csv",
+    "orders": "csv",
+    "product_catalog": "json",
+    "order_recap": "json",
+}
 LOCATION_KEY = ("city", "state", "country", "region", "market", "postal_code")
 
 
@@ -156,13 +167,22 @@ def order_recap(
     )
 
 
-def run_etl(spark: SparkSession, extract_path: str, out_dir: str) -> None:
+def run_etl(spark: SparkSession, extract_path: str, out_dir: str) -> dict[str, dict[str, int]]:
     """Read the extract and write all six outputs under ``out_dir``.
 
     The parsed extract is staged as Parquet once, so that each output reads only the
-    columns it needs instead of parsing the text again.
+    columns it needs instead of parsing the text again. Returns counts gathered on the way: lines
+    without order or product name, lines that found no key, lines that a join added, and
+    dimension keys that several rows have.
     """
     parsed = parse_dates(rename_sales(read_sales_csv(spark, extract_path)))
+    parsed, lines = observed(
+        parsed,
+        "sales",
+        without_order=F.col("order_id").isNull(),
+        without_product=F.col("product_name").isNull(),
+        shipped_before_order=F.col("ship_date") < F.col("order_date"),
+    )
     write_table(parsed, f"{out_dir}/staged/sales", "parquet")
     sales = read_table(spark, f"{out_dir}/staged/sales")
 
@@ -174,6 +194,29 @@ def run_etl(spark: SparkSession, extract_path: str, out_dir: str) -> None:
 
     write_table(attach_product(sales, products), f"{out_dir}/staged/sales_with_product", "parquet")
     with_product = read_table(spark, f"{out_dir}/staged/sales_with_product")
-    write_table(order_table(attach_location(with_product, locations)), f"{out_dir}/orders", "csv")
+    facts, matched = observed(
+        attach_location(with_product, locations),
+        "orders",
+        without_product=F.col("product_id").isNull(),
+        without_location=F.col("location_id").isNull(),
+    )
+    write_table(order_table(facts), f"{out_dir}/orders", "csv")
     write_table(product_catalog(with_product), f"{out_dir}/product_catalog", "json")
     write_table(order_recap(with_product), f"{out_dir}/order_recap", "json")
+
+    people = read_table(spark, f"{out_dir}/customer", "csv", {"header": "true"})
+    keys = {"customer": (people, ["customer_id"]), "product_name": (products, ["product_name"])}
+    checks = {name: key_check(table, key, name).drop("check").first().asDict() for name, (table, key) in keys.items()}
+    return {
+        "sales": dict(lines.get),
+        "orders": {**matched.get, "added": matched.get["rows"] - lines.get["rows"]},
+        **checks,
+    }
+
+
+def publish_etl(spark: SparkSession, extract_path: str, out_dir: str) -> dict[str, Any]:
+    """``run_etl`` into a new version under ``out_dir``; all six outputs appear together or none does.
+
+    Returns the manifest with the counts as ``metrics``; ``sources.versions`` reads the outputs.
+    """
+    return committed(spark, out_dir, OUTPUTS, lambda folder: run_etl(spark, extract_path, folder))
