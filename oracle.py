@@ -285,7 +285,36 @@ placed AS (
 
 # --------------------------------------------------------------------------- one per query
 
+_KEYED = (
+    ("customer", "c_custkey", "customer"),
+    ("customer_name", "c_name", "customer"),
+    ("product", "p_partkey", "part"),
+    ("product_name", "p_name", "part"),
+    ("catalog", "p_partkey", "part"),
+    ("location", "n_nationkey", "nation JOIN region ON n_regionkey = r_regionkey"),
+)
+_MATCHED = (
+    ("product", "product_id", "SELECT p_partkey AS k FROM part"),
+    ("listed_name", "listed_name", """SELECT concat_ws(', ', p_name, CASE WHEN p_size % 3 <> 0 THEN p_type END,
+        CASE WHEN p_size % 3 = 2 THEN 'size ' || p_size END) AS k FROM part"""),
+    ("product_name", "listed_name", "SELECT p_name AS k FROM part"),
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "key_checks": " UNION ALL ".join(
+        f"""SELECT '{name}' AS "check", count(*) AS "rows", count(*) - count({key}) AS null_keys,
+        (SELECT count(*) FROM (SELECT {key} FROM {table} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1))
+          AS repeated_keys,
+        count({key}) - count(DISTINCT {key}) AS extra_rows FROM {table}"""
+        for name, key, table in _KEYED
+    ),
+    "match_checks": f"WITH {_LINES} "
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "check", count(*) AS "rows", count(*) FILTER (n = 0) AS unmatched,
+        count(*) FILTER (n > 1) AS repeated, cast(coalesce(sum(n - 1) FILTER (n > 1), 0) AS bigint) AS added
+        FROM (SELECT (SELECT count(*) FROM ({lookup}) WHERE k = {key}) AS n FROM sales_lines)"""
+        for name, key, lookup in _MATCHED
+    ),
     "dim_customer": f"WITH {_LINES} SELECT DISTINCT customer_id, customer_name, segment FROM sales_lines",
     "dim_product": f"""WITH {_KEYS}
       SELECT product_key AS product_id, listed_name AS product_name, category, sub_category

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmargin.functions.dates import date_text
+from shelfmargin.operators.checks import key_check, match_check
 from shelfmargin.plans import discount, etl, facet_cube, trap
 from shelfmargin.plans import hidden_value as hidden
 from shelfmargin.session import cached, checkpointed
@@ -166,7 +168,36 @@ def _delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the keys and names of the dimensions and the catalogue are unique."""
+    tables = {
+        "customer": (testbed.customer(spark, sf_dir), "customer_id"),
+        "customer_name": (testbed.customer(spark, sf_dir), "customer_name"),
+        "product": (testbed.product(spark, sf_dir), "product_id"),
+        "product_name": (testbed.product(spark, sf_dir), "product_name"),
+        "catalog": (testbed.product_catalog(spark, sf_dir), "product_id"),
+        "location": (testbed.location(spark, sf_dir), "location_id"),
+    }
+    return reduce(DataFrame.unionAll, [key_check(table, [key], name) for name, (table, key) in tables.items()])
+
+
+def _match_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What joining the order lines to their products by id and by name would do."""
+    lines = testbed.order_lines(spark, sf_dir, ("order_id", "product_id"))
+    named = testbed.sales_extract(spark, sf_dir).select("product_name")
+    names = testbed.listed_names(spark, sf_dir).withColumnRenamed("listed_name", "product_name")
+    known = testbed.product(spark, sf_dir)
+    return (
+        match_check(lines, known, ["product_id"], "product")
+        .unionAll(match_check(named, names, ["product_name"], "listed_name"))
+        .unionAll(match_check(named, known, ["product_name"], "product_name"))
+    )
+
+
 QUERIES: dict[str, Query] = {
+    # checks of keys and joins
+    "key_checks": _key_checks,
+    "match_checks": _match_checks,
     # star tables and documents
     "dim_customer": lambda s, d: etl.customer_table(testbed.sales_extract(s, d)),
     "dim_product": lambda s, d: etl.product_table(testbed.sales_extract(s, d)),
