@@ -77,8 +77,9 @@ def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     coded[((offsets[:-1] + (DEPTH + 1) * rows)[:, None] + np.arange(DEPTH)).ravel()] = False
     grams = np.zeros(max(len(line) - DEPTH, 0), np.int64)
     for back in range(1, DEPTH + 1):
-        grams = (grams << 8) | line[DEPTH - back : len(line) - back]
-    grams = (grams << 8) | line[DEPTH:]
+        grams |= line[DEPTH - back : len(line) - back]
+        grams <<= 8
+    grams |= line[DEPTH:]
     return grams[coded[DEPTH:]], np.repeat(rows, lengths + 1)
 
 
@@ -96,7 +97,10 @@ def _distinct(keys: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndar
 
 
 class GramTable:
-    """Log probabilities by gram: an open hash table with at most half its places taken."""
+    """Log probabilities by gram: an open hash table with at most half its places taken.
+
+    Of several grams with one place the last keeps it, so frequent grams, found most often, come last.
+    """
 
     def __init__(self, grams: np.ndarray, logs: np.ndarray):
         bits = max(4, (2 * len(grams)).bit_length())
@@ -285,9 +289,10 @@ def _common(counts: DataFrame) -> dict[bytes, int]:
 
 
 def _common_grams(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent grams, at most ``COMMON_GRAMS`` of 12 bytes, and their log probabilities."""
-    table = _frequent(logs, COMMON_GRAMS).select("gram", F.col("log").cast("float").alias("log")).toArrow()
-    return table.column("gram").to_numpy(), table.column("log").to_numpy()
+    """The most frequent grams, at most ``COMMON_GRAMS``, rising by count, and their log probabilities."""
+    table = _frequent(logs, COMMON_GRAMS).select("gram", F.col("log").cast("float").alias("log"), "held").toArrow()
+    order = np.argsort(table.column("held").to_numpy(), kind="stable")
+    return table.column("gram").to_numpy()[order], table.column("log").to_numpy()[order]
 
 
 def trained(doc_id: str = "doc_id") -> Column:
