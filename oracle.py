@@ -586,3 +586,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT anchor_id, rank, product_id, p_name AS product_name, frequency
       FROM ranked LEFT JOIN part ON p_partkey = product_id WHERE rank <= 10""",
 }
+
+# the documents written as JSON arrays and read again hold the same values
+ORACLE_SQL["product_catalog_export"] = ORACLE_SQL["product_catalog_flat"]
+ORACLE_SQL["order_recap_export"] = ORACLE_SQL["order_recap_lines"]

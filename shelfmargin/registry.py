@@ -12,8 +12,9 @@ from shelfmargin.functions.dates import date_text
 from shelfmargin.operators.checks import key_check, match_check
 from shelfmargin.plans import discount, etl, facet_cube, trap
 from shelfmargin.plans import hidden_value as hidden
-from shelfmargin.session import cached, checkpointed
+from shelfmargin.session import cached, checkpointed, new_folder
 from shelfmargin.sources import testbed
+from shelfmargin.sources.files import read_documents, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,8 +123,23 @@ def _catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _exported(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """``documents`` written as JSON arrays to the shared folder and read from there in slices."""
+    folder = new_folder(spark, "export")
+    write_table(documents, folder, "json_array")
+    return read_documents(spark, folder, documents.schema, "json_array")
+
+
 def _catalog_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalog_documents(spark, sf_dir).select(
+    return _flat_catalog(_catalog_documents(spark, sf_dir))
+
+
+def _catalog_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_catalog(_exported(spark, _catalog_documents(spark, sf_dir)))
+
+
+def _flat_catalog(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "product_id",
         "part",
         "full_name",
@@ -154,7 +170,15 @@ def _recap_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recap_documents(spark, sf_dir).select(
+    return _lines_of_recap(_recap_documents(spark, sf_dir))
+
+
+def _recap_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines_of_recap(_exported(spark, _recap_documents(spark, sf_dir)))
+
+
+def _lines_of_recap(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "order_id", "first_line_no", F.posexplode("products").alias("place", "product")
     ).select("order_id", (F.col("first_line_no") - 1 + F.col("place")).cast("int").alias("line_no"), "product.*")
 
@@ -207,6 +231,8 @@ QUERIES: dict[str, Query] = {
     "product_catalog_flat": _catalog_flat,
     "order_recap_flat": _recap_flat,
     "order_recap_lines": _recap_lines,
+    "product_catalog_export": _catalog_export,
+    "order_recap_export": _recap_export,
     "shipping_delays": _delays,
     # discount
     "discount_base": _discount_lines,

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from shelfmargin.sources.json_arrays import read_json_array, write_json_array
+
 _MEASURE = T.DecimalType(18, 4)
 
 # The extract's column titles, our names and their types, in file order.
@@ -141,13 +143,18 @@ def read_documents(
     fmt: str = "json",
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """A document collection without its ``_id``; one JSON object per line by default."""
+    """A document collection without its ``_id``; one JSON object per line by default.
+
+    ``json_array`` reads files that are one array each in many tasks (see ``json_arrays``).
+    """
+    if fmt == "json_array":
+        return read_json_array(spark, path, schema, options).drop("_id")
     reader = spark.read.format(fmt).schema(schema).options(**(options or {}))
     return reader.load(path).drop("_id")
 
 
 def write_table(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> None:
-    """CSV with a header, JSON with one record per line, or Parquet."""
+    """CSV with a header, JSON with one record per line or one array per file (``json_array``), or Parquet."""
     if not isinstance(df, DataFrame):
         raise ValueError(f"unsupported data for {fmt}: {type(df).__name__}")
     writer = df.write.mode(mode)
@@ -162,6 +169,8 @@ def write_table(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") ->
         writer.option("header", True).csv(path)
     elif fmt == "json":
         writer.json(path)
+    elif fmt == "json_array":
+        write_json_array(df, path, mode)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
