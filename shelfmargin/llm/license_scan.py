@@ -10,8 +10,11 @@ templates, settles which templates its blocks can reach. Tokens are ordered by h
 hold them, rare ones first. A text with a block that reaches the threshold shares one of the
 first ``size - needed + 1`` tokens of the template, so only these are join keys (prefix filter);
 texts with fewer vocabulary tokens than needed are left out (length filter); the places of the
-first shared token in template and text bound how many can still follow (positional filter).
-What remains is cut into its blocks, and each is verified on the whole sets.
+a shared token in template and text bound how many can still follow (positional filter, before any
+intersection). What remains is cut into its blocks, and each is verified on the whole sets.
+
+Short forms are templates of a few words that a block must hold to 100 percent, and the text one after the
+other in their order. Templates and short forms of one license share its label.
 
 Templates are a short fixed list, so their prefixes and token counts are broadcast: at most
 ``MOST_TOKENS`` tokens, checked. All steps are DataFrame expressions.
@@ -20,6 +23,7 @@ Templates are a short fixed list, so their prefixes and token counts are broadca
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +41,24 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Notices of common licenses, by label. The short forms that stand alone in a line
-# keep only the words that tell licenses apart, since all of two or three words are needed: of
-# "released under the mit license" any other license's line would hold 75 percent.
+# Notices of common licenses, by label.
 TEMPLATES = {
-    "apache": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
-    "apache-line": "apache license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license cc by",
-    "gpl": "this work is licensed under the gnu general public license version 3",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mit-line": "mit license",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "apache": ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license",),
+    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
+    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license cc by",),
+    "gpl": (
+        "this work is licensed under the gnu general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+    ),
+    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
+}
+
+# Lines that name a license. All their words must stand in this order, one after the
+# other: of four words a line about any other license would hold 75 percent.
+SHORT_FORMS = {
+    "apache": ("under the apache license",),
+    "mit": ("under the mit license",),
 }
 
 
@@ -114,19 +123,37 @@ def _best_block(words: Column, template: Column, length: Column) -> Column:
     )
 
 
-def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = CONTAINMENT) -> DataFrame:
+def _forms(
+    templates: Mapping[str, Sequence[str]], short_forms: Mapping[str, Sequence[str]], percent: int
+) -> list[tuple[str, list[str], int, str | None]]:
+    """(label, words, tokens needed, phrase of a short form) of every template that has words."""
+    forms = []
+    for share, group in ((percent, templates), (100, short_forms)):
+        for label, texts in group.items():
+            for text in texts:
+                words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower())
+                if words:
+                    phrase = " ".join(words) if group is short_forms else None
+                    forms.append((label, words, -(-share * len(set(words)) // 100), phrase))
+    return forms
+
+
+def containments(
+    docs: DataFrame,
+    templates: Mapping[str, Sequence[str]] = TEMPLATES,
+    percent: int = CONTAINMENT,
+    short_forms: Mapping[str, Sequence[str]] = SHORT_FORMS,
+) -> DataFrame:
     """``doc_id, text_hash, label, containment`` (0 to 1): templates found in each document.
 
     Null texts have no blocks; a template without words is never found.
     """
     spark = docs.sparkSession
-    lists = {label: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower()) for label, text in templates.items()}
-    lists = {label: words for label, words in lists.items() if words}
-    sets = {label: list(dict.fromkeys(words)) for label, words in lists.items()}
-    vocabulary = sorted({word for words in sets.values() for word in words})
-    if sum(map(len, sets.values())) > MOST_TOKENS:
+    forms = _forms(templates, short_forms, percent)
+    vocabulary = sorted({word for _, words, _, _ in forms for word in words})
+    if sum(len(set(words)) for _, words, _, _ in forms) > MOST_TOKENS:
         raise ValueError(f"templates have more than {MOST_TOKENS} tokens")
-    least = min((-(-percent * len(words) // 100) for words in sets.values()), default=1)
+    least = min((needed for _, _, needed, _ in forms), default=1)
     texts = docs.where(F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.trim(words_text(F.col("text"))), " ").alias("words")
     )
@@ -142,19 +169,19 @@ def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
     order = sorted(vocabulary, key=lambda word: (counted.get(word, 0), word))
     rank = {word: k for k, word in enumerate(order)}
     prefixes = []
-    for label, words in sets.items():
-        ordered = sorted(words, key=rank.__getitem__)
-        needed = -(-percent * len(words) // 100)
+    for label, words, needed, phrase in forms:
+        ordered = sorted(set(words), key=rank.__getitem__)
         prefixes += [
-            (token, place, label, ordered, len(words), needed, len(lists[label]))
-            for place, token in enumerate(ordered[: len(words) - needed + 1])
+            (token, place, label, ordered, len(ordered), needed, len(words), phrase)
+            for place, token in enumerate(ordered[: len(ordered) - needed + 1])
         ]
     few = spark.createDataFrame(
         prefixes,
-        "token string, place int, label string, template array<string>, template_size int, needed int, length int",
+        "token string, place int, label string, template array<string>, template_size int, needed int, length int, phrase string",
     )
     keys = F.array(*[F.lit(word) for word in sorted({p[0] for p in prefixes}, key=rank.__getitem__)]).cast("array<string>")
-    # both sets are in the order of ranks, so the first shared token is the first of their intersection
+    # both sets are in the order of ranks: the first shared token has the most tokens after it, so the
+    # row that the bound must keep is its own, and the other rows go
     here = F.array_position("tokens", F.col("token")).cast("int")
     candidates = (
         texts.withColumn("tokens", held(order))
@@ -164,27 +191,35 @@ def containments(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
         .select("doc_id", "text_hash", "words", "tokens", F.explode("keys").alias("token"))
         .join(F.broadcast(few), "token")
         .where(F.size("tokens") >= F.col("needed"))
-        .where(F.get(F.array_intersect("template", "tokens"), 0) == F.col("token"))
         .where(_enough_follow(F.col("template_size") - F.col("place"), F.size("tokens") - here + 1, F.col("needed")))
+        .where(F.get(F.array_intersect("template", "tokens"), 0) == F.col("token"))
         .where(F.size(F.array_intersect("template", "tokens")) >= F.col("needed"))
     )
     shared = _best_block(F.col("words"), F.col("template"), F.col("length"))
+    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    in_order = F.col("phrase").isNull() | F.contains(text, F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     return (
-        candidates.withColumn("shared", shared)
+        candidates.where(in_order)
+        .withColumn("shared", shared)
         .where(F.col("shared") >= F.col("needed"))
         .groupBy("doc_id", "text_hash", "label")
         .agg(F.max(F.col("shared") / F.col("template_size")).alias("containment"))
     )
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = CONTAINMENT) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    templates: Mapping[str, Sequence[str]] = TEMPLATES,
+    percent: int = CONTAINMENT,
+    short_forms: Mapping[str, Sequence[str]] = SHORT_FORMS,
+) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each row.
 
     ``score`` is the best containment, or 1 where a base phrase stands. Without any label the
     label columns are empty texts. Rows with equal id and text have equal results; ids may be null.
     """
     source = docs.select("doc_id", "text")
-    found = checkpointed(containments(source, templates, percent))
+    found = checkpointed(containments(source, templates, percent, short_forms))
     merged = found.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
@@ -208,10 +243,11 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _template_rows() -> str:
+    """``(label, words, all words, tokens needed, phrase)`` of every template and short form."""
     rows = []
-    for label, text in TEMPLATES.items():
-        words = sorted(set(text.split(" ")))
-        rows.append(f"('{label}', [{', '.join(repr(w) for w in words)}])")
+    for label, words, needed, phrase in _forms(TEMPLATES, SHORT_FORMS, CONTAINMENT):
+        listed = ", ".join(repr(word) for word in sorted(set(words)))
+        rows.append(f"('{label}', [{listed}], {len(words)}, {needed}, {repr(phrase) if phrase else 'NULL'})")
     return ", ".join(rows)
 
 
@@ -222,18 +258,24 @@ def _phrase(phrase: str, name: str) -> str:
 
 
 OP10_SQL = f"""
-WITH templates(label, words) AS (VALUES {_template_rows()}),
+WITH templates(label, words, n, needed, phrase) AS (VALUES {_template_rows()}),
 numbered AS (
     SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), worded AS (
     SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM numbered
 ), placed AS (
     SELECT r, doc_id, w, {', '.join(_phrase(phrase, f'a{k}') for k, phrase in enumerate(BASE_PHRASES))} FROM worded
-), lines AS (
-    SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS b FROM numbered
+), held AS (
+    SELECT r, w, label, words, n, needed FROM worded, templates
+    WHERE len(list_intersect(list_distinct(w), words)) >= needed
+        AND (phrase IS NULL OR contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' '))
+), blocks AS (
+    SELECT r, label, len(words) AS size, needed, list_max(list_transform(
+        range(1, greatest(len(w) - n, 1) + 1, greatest(n // 2, 1)),
+        lambda k: len(list_intersect(list_distinct(w[k : k + 2 * n - 1]), words))
+    )) AS shared FROM held
 ), found AS (
-    SELECT r, label, max(len(list_intersect(b, words)) / len(words)) AS containment
-    FROM lines, templates WHERE len(b) > 0 AND 100 * len(list_intersect(b, words)) >= {CONTAINMENT} * len(words) GROUP BY r, label
+    SELECT r, label, max(shared / size) AS containment FROM blocks WHERE shared >= needed GROUP BY r, label
 ), merged AS (
     SELECT r, list(label) AS more, max(containment) AS best FROM found GROUP BY r
 ), joined AS (

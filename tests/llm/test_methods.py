@@ -369,10 +369,14 @@ def test_license_lines_of_the_tables(documents):
         "This work is licensed under the GNU General Public License, version 3.": ("gpl", "gpl"),
         "All rights reserved.": ("reserved", "reserved"),
         "Licensed under CC BY-NC 4.0.": ("cc-by", "cc-by"),
-        "Released under the MIT License.": ("mit-line", ""),
-        "Licensed under the Apache License, Version 2.0.": ("apache-line", ""),
+        "Released under the MIT License.": ("mit", ""),
+        "Licensed under the Apache License, Version 2.0.": ("apache", ""),
         "Released under the BSD License.": ("", ""),
         "Licensed under the Mozilla Public License, Version 2.0.": ("", ""),
+        "Er kam mit der License nach Hause.": ("", ""),
+        "license of the Apache people": ("", ""),
+        "Under the license, mit und ohne.": ("", ""),
+        "Released under the\n * MIT License": ("mit", ""),
     }
     table = [(i, f"Und des mit.\n{line}") for i, line in enumerate(lines)]
     got = {r.doc_id: (r.labels, r.base_labels) for r in license_scan.scan(documents(table)).collect()}
@@ -383,11 +387,13 @@ def brute_labels(text):
     """Labels of the templates that a window of whole-text words holds, by comparing sets."""
     words = re.findall("[0-9a-z\\x80-\U0010ffff]+", text.lower())
     found = set()
-    for label, template in license_scan.TEMPLATES.items():
+    for label, template in ((label, text) for label, texts in license_scan.TEMPLATES.items() for text in texts):
         n, tokens = len(template.split()), set(template.split())
         for k in range(0, max(len(words) - n, 1), max(n // 2, 1)):
             if 100 * len(tokens & set(words[k : k + 2 * n])) >= license_scan.CONTAINMENT * len(tokens):
                 found.add(label)
+    for label, forms in license_scan.SHORT_FORMS.items():
+        found |= {label for form in forms if f" {form} " in f" {' '.join(words)} "}
     return found | {label for phrase, label in license_scan.BASE_PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
 
 
@@ -395,7 +401,7 @@ def test_license_notices_over_lines(documents):
     """Wrapped notices are found wherever they stand; words far apart in one line are not."""
     mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation\n# files"
     bsd = "* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
-    far = " ".join(f"{word} {'x ' * 30}" for word in license_scan.TEMPLATES["gpl-notice"].split())
+    far = " ".join(f"{word} {'x ' * 30}" for word in license_scan.TEMPLATES["gpl"][1].split())
     table = [(1, mit), (2, bsd), (3, far)]
     table += [(10 + k, f"{'x ' * k}\n{text}\n{'y ' * 50}") for k in range(25) for text in (mit if k % 2 else bsd,)]
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.scan(documents(table)).collect()}
