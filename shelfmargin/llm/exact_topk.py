@@ -7,9 +7,10 @@ pivot with many vectors to several blocks; each block is one M-tree. A page hold
 routing vector of its page. Pages are visited by least lower bound over a block of queries;
 |d(q, p) - d(p, x)| - r leaves out entries without computing their distance.
 
-Every query first searches the block of its own pivot, which gives it a score to beat; the
-other blocks return only what is at least as good. Bounds have a slack above rounding error,
-and scores are whole numbers, so results are exact.
+Every query first searches its own block, which gives it a score to beat. The routing vectors and
+covering radii of all blocks, in pages, then tell which other blocks can hold a score at least as
+good; a block of queries is sent on only with the queries that still have a use for a tree. Bounds
+have a slack above rounding error, and scores are whole numbers, so results are exact.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from shelfmargin.session import checkpointed
 PAGE = 64
 BLOCK = 4_096
 PIVOTS = 64
+ROUTES = 512  # blocks in one page of routes
 SLACK = 1e-6
+_NO_BAR = -(1 << 62)
 _MOST_SQUARE = 2.0**62  # of a norm: then every inner product, and every part of its sum, fits a long
 
 
@@ -173,6 +176,15 @@ def whole_vectors(embeddings: DataFrame, vec_id: str, vector: str, scale: int) -
     ).select(F.col(vec_id).cast("long").alias("id"), parts.alias("whole"))
 
 
+_TREE = pa.schema(
+    [
+        ("block", pa.int32()),
+        *((name, pa.binary()) for name in ("tree", "tree_ids", "tree_rows", "route")),
+        ("radius", pa.float64()),
+    ]
+)
+
+
 def top_k(
     embeddings: DataFrame,
     is_query,
@@ -184,91 +196,149 @@ def top_k(
     """``query_id, rank, vec_id, score``: each query's ``k`` best other vectors.
 
     ``is_query`` is a condition on ``id``. Score is the inner product of the whole-number
-    vectors, ties go to the smaller id. Vectors of another length than most take no part; rows
-    that repeat an id are candidates each, and none is matched with its own id. Pivots are at
-    most ``PIVOTS`` vectors; any choice gives the same result.
+    vectors, ties go to the smaller id; vectors meet those of their own length. Rows are told
+    apart by their place and not by id: rows that repeat an id, or a whole row, are candidates
+    of each other, and each of them that is a query has its own list. Pivots are at most
+    ``PIVOTS`` vectors of a length; any choice gives the same result.
     """
-    rows = whole_vectors(embeddings, vec_id, vector, scale)
-    shapes = rows.groupBy(F.size("whole").alias("width")).agg(
-        F.count("*").alias("rows"),
-        F.max(F.aggregate("whole", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square"),
-    )
-    shape = shapes.orderBy(F.desc("rows"), "width").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score long"
-    if not shape:
-        return embeddings.sparkSession.createDataFrame([], empty)
-    width, norm, blocks = shape[0].width, float(np.sqrt(shape[0].square)), -(-shape[0].rows // BLOCK)
-    rows = rows.where(F.size("whole") == width)
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, blocks)).collect()
-    pivots = np.array([row.whole for row in chosen], float)
-    shared = embeddings.sparkSession.sparkContext.broadcast(pivots)
+    spark = embeddings.sparkSession
+    rows = whole_vectors(embeddings, vec_id, vector, scale).withColumn("width", F.size("whole"))
+    square = F.aggregate("whole", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
+    shapes = rows.groupBy("width").agg(F.count("*").alias("rows"), F.max(square).alias("square")).collect()
+    if not shapes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    norms = {shape.width: float(np.sqrt(shape.square)) for shape in shapes}
+    blocks = {shape.width: -(-shape.rows // BLOCK) for shape in shapes}
+    by_hash = Window.partitionBy("width").orderBy(F.xxhash64("id"), "id")
+    several = [width for width, count in blocks.items() if count > 1]
+    chosen = rows.where(F.col("width").isin(several)).withColumn("place", F.row_number().over(by_hash))
+    pivots, first = {}, {}
+    for row in chosen.where(F.col("place") <= PIVOTS).collect() if several else ():
+        if row.place <= blocks[row.width]:
+            pivots.setdefault(row.width, []).append(row.whole)
+    for width in sorted(blocks):
+        first[width] = sum(len(pivots.get(other, [0])) for other in first)
+    shared = spark.sparkContext.broadcast({width: np.array(found, float) for width, found in pivots.items()})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                flat = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-                near = _distances(flat, shared.value).argmin(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["id", "whole", "pivot"])
-
-    placed = ready(rows).mapInArrow(assign, "id long, whole array<bigint>, pivot int")
+            if not batch.num_rows:
+                continue
+            wholes, widths = batch.column(1), batch.column(2).to_numpy()
+            near = np.zeros(batch.num_rows, np.int32)
+            for width in np.unique(widths).tolist():
+                which = np.flatnonzero(widths == width)
+                near[which] = first[width]
+                if width in shared.value:
+                    flat = wholes.take(pa.array(which)).flatten().to_numpy().reshape(len(which), width).astype(float)
+                    near[which] += _distances(flat, shared.value[width]).argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), wholes, pa.array(near)], ["id", "whole", "pivot"])
+
+    placed = ready(rows.select("id", "whole", "width")).mapInArrow(assign, "id long, whole array<bigint>, pivot int")
+    placed = checkpointed(placed.withColumn("row", F.monotonically_increasing_id()))
     sizes = {row.pivot: -(-row.rows // BLOCK) for row in placed.groupBy("pivot").agg(F.count("*").alias("rows")).collect()}
-    first, starts = 0, {}
+    total, starts = 0, []
     for pivot, count in sorted(sizes.items()):
-        starts[pivot] = (first, count)
-        first += count
-    total = first
-    start = F.element_at(F.create_map(*[F.lit(x) for p, (s, _) in starts.items() for x in (p, s)]), F.col("pivot"))
-    count = F.element_at(F.create_map(*[F.lit(x) for p, (_, c) in starts.items() for x in (p, c)]), F.col("pivot"))
-    in_block = placed.withColumn("block", (start + F.pmod(F.xxhash64("id", "whole"), count)).cast("int"))
+        starts.append((pivot, total, count))
+        total += count
+    spread = F.broadcast(spark.createDataFrame(starts, "pivot int, start int, count int"))  # PIVOTS rows a length
+    block = (F.col("start") + F.pmod(F.xxhash64("row"), "count")).cast("int")
+    in_block = placed.join(spread, "pivot").select(block.alias("block"), "id", "row", "whole")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, matrix in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                whole = np.frombuffer(matrix, np.int64).reshape(-1, width).astype(float)
+                table = np.frombuffer(matrix, np.int64).reshape(len(ids) // 8, -1)
+                whole = table[:, :-1].astype(float)
+                norm = norms[whole.shape[1]]
                 rest = np.sqrt(np.maximum(norm * norm - (whole * whole).sum(axis=1), 0))
                 points = np.hstack([whole, rest[:, None]])
                 route = points.mean(axis=0)
-                root, radius = build(points, np.frombuffer(ids, np.int64), route)
-                packed = pickle.dumps((root, route, radius, norm), protocol=5)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed], pa.binary())], ["block", "tree"])
+                root, radius = build(points, np.arange(len(points)), route)
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {
+                            "block": block,
+                            "tree": pickle.dumps((root, route, radius, norm), protocol=5),
+                            "tree_ids": ids,
+                            "tree_rows": table[:, -1].tobytes(),
+                            "route": route.tobytes(),
+                            "radius": radius,
+                        }
+                    ],
+                    _TREE,
+                )
 
-    trees = _packed(in_block.select("block", "id", "whole"), ["block"]).mapInArrow(grow, "block int, tree binary")
+    kinds = "block int, tree binary, tree_ids binary, tree_rows binary, route binary, radius double"
+    rowed = in_block.select("block", "id", F.concat("whole", F.array("row")).alias("whole"))
+    trees = checkpointed(_packed(rowed, ["block"]).mapInArrow(grow, kinds))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, matrix, least, tree = (batch.column(c)[row].as_py() for c in range(4))
-                ids = np.frombuffer(ids, np.int64)
-                queries = np.frombuffer(matrix, np.int64).reshape(len(ids), -1)
-                bars = queries[:, -1] if least else np.full(len(ids), -(1 << 62))
-                at, owner, score = search(tree, queries[:, :width], ids, k, bars)
+            for at in range(batch.num_rows):
+                ids, matrix, tree, tree_ids, tree_rows = (batch.column(c)[at].as_py() for c in range(5))
+                ids, tree_ids, tree_rows = (np.frombuffer(part, np.int64) for part in (ids, tree_ids, tree_rows))
+                table = np.frombuffer(matrix, np.int64).reshape(len(ids), -1)
+                order = np.argsort(tree_rows)
+                place = order[np.minimum(np.searchsorted(tree_rows, table[:, -2], sorter=order), len(order) - 1)]
+                own = np.where(tree_rows[place] == table[:, -2], place, -1)
+                which, found, score = search(tree, np.ascontiguousarray(table[:, :-2]), own, k, table[:, -1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(owner), pa.array(score)], ["query_id", "vec_id", "score"]
+                    [pa.array(table[which, -2]), pa.array(ids[which]), pa.array(tree_ids[found]), pa.array(score)],
+                    ["query", "query_id", "vec_id", "score"],
                 )
 
-    found_schema = "query_id long, vec_id long, score long"
-    asked = in_block.where(is_query)
-    near = _packed(asked.select("block", "id", "whole"), ["block"])
-    home = near.join(trees, "block").select("ids", "matrix", F.lit(False).alias("least"), "tree").mapInArrow(ask, found_schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    ranked = checkpointed(ranked.select("query_id", "vec_id", "score", "rank"))
-    bars = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
-    barred = (
-        asked.join(bars, "id", "left")
-        .withColumn("whole", F.concat("whole", F.array(F.coalesce("bar", F.lit(-(1 << 62))))))
-        .select("block", "id", "whole")
+    def reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of a block that each other block of a page of routes can still serve."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                home, ids, matrix, routes = (batch.column(c)[at].as_py() for c in range(4))
+                ids = np.frombuffer(ids, np.int64)
+                table = np.frombuffer(matrix, np.int64).reshape(len(ids), -1)
+                width = table.shape[1] - 2
+                others = [r for r in routes if r["block"] != home and len(r["route"]) == 8 * (width + 1)]
+                if not others:
+                    continue
+                points = np.hstack([table[:, :width].astype(float), np.zeros((len(ids), 1))])
+                lengths = (points * points).sum(axis=1)
+                slack = SLACK * (np.sqrt(lengths) + norms[width] + 1)
+                limit = np.sqrt(np.maximum(lengths + norms[width] ** 2 - 2 * table[:, -1].astype(float), 0)) + slack
+                ways = np.array([np.frombuffer(r["route"], float) for r in others])
+                useful = _distances(points, ways) - np.array([r["radius"] for r in others]) <= limit[:, None]
+                for k_th in np.flatnonzero(useful.any(axis=0)).tolist():
+                    kept = useful[:, k_th]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([others[k_th]["block"]], pa.int32()),
+                            pa.array([ids[kept].tobytes()], pa.binary()),
+                            pa.array([table[kept].tobytes()], pa.binary()),
+                        ],
+                        ["block", "ids", "matrix"],
+                    )
+
+    def answers(sent: DataFrame) -> DataFrame:
+        asked = sent.join(trees, "block").select("ids", "matrix", "tree", "tree_ids", "tree_rows")
+        return asked.mapInArrow(ask, "query long, query_id long, vec_id long, score long")
+
+    queries = in_block.where(is_query)
+    unbarred = F.concat("whole", F.array(F.col("row"), F.lit(_NO_BAR)))
+    home = answers(_packed(queries.select("block", "id", unbarred.alias("whole")), ["block"]))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = checkpointed(home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    bars = ranked.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("bar"))
+    barred = F.concat("whole", F.array(F.col("row"), F.coalesce("bar", F.lit(_NO_BAR))))
+    known = _packed(queries.join(bars, "row", "left").select("block", "id", barred.alias("whole")), ["block"])
+    pages = (
+        trees.groupBy(F.expr(f"block div {ROUTES}").cast("int").alias("page"))
+        .agg(F.collect_list(F.struct("block", "route", "radius")).alias("routes"))
     )
-    far = (
-        _packed(barred, ["block"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-        .where(F.col("other") != F.col("block"))
-        .drop("block")
-        .join(trees.withColumnRenamed("block", "other"), "other")
-        .select("ids", "matrix", F.lit(True).alias("least"), "tree")
-        .mapInArrow(ask, found_schema)
+    far = answers(
+        known.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // ROUTES))))
+        .join(pages, "page")
+        .select("block", "ids", "matrix", "routes")
+        .mapInArrow(reachable, "block int, ids binary, matrix binary")
     )
-    every = ranked.select("query_id", "vec_id", "score").unionAll(far)
+    every = ranked.drop("rank").unionByName(far)
     return every.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
