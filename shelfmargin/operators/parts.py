@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmargin.operators.numbering import number_rows
+from shelfmargin.session import checkpointed
 
 ITEMS_PER_PART = 100_000
 
@@ -20,10 +21,38 @@ def collect_in_parts(
     The rows of a key are numbered by ``fields`` from 1; part p holds the numbers from
     ``first_no = p * items_per_part + 1`` on. The rule is the same for every key and input:
     parts in order hold the whole key in order, and no array is longer than ``items_per_part``.
+
+    Fewer than ``rows / items_per_part`` keys have more than one part. Their rows alone are sorted over
+    many tasks; those of every other key are one array, sorted by itself. ``rows`` are read twice, and
+    again where a key has several parts.
     """
-    numbered = number_rows(
-        rows.select(key, *fields), [F.col(field) for field in fields], "item_no", within=[key]
+    rows = rows.select(key, *fields).where(F.col(key).isNotNull())
+    large = checkpointed(
+        rows.groupBy(key).agg(F.count("*").alias("key_rows")).where(F.col("key_rows") > items_per_part).select(key)
+    )
+    if large.isEmpty():
+        return _one_part(rows, key, fields, name)
+    return _one_part(rows.join(F.broadcast(large), key, "left_anti"), key, fields, name).unionByName(
+        _several_parts(rows.join(F.broadcast(large), key, "left_semi"), key, fields, name, items_per_part)
+    )
+
+
+def _one_part(rows: DataFrame, key: str, fields: Sequence[str], name: str) -> DataFrame:
+    """The rows of each key as one array."""
+    items = F.array_sort(F.collect_list(F.struct(*fields)))
+    numbered = F.transform(
+        "items", lambda item, place: F.struct((place + 1).cast("long").alias("item_no"), *[item[field].alias(field) for field in fields])
     )
+    return rows.groupBy(key).agg(items.alias("items")).select(
+        key, F.lit(0).alias("part"), F.lit(1).cast("long").alias("first_no"), numbered.alias(name)
+    )
+
+
+def _several_parts(
+    rows: DataFrame, key: str, fields: Sequence[str], name: str, items_per_part: int
+) -> DataFrame:
+    """The rows of each key, numbered without a window over a key, as arrays of ``items_per_part``."""
+    numbered = number_rows(rows, [F.col(field) for field in fields], "item_no", within=[key])
     part = F.expr(f"cast((item_no - 1) div {items_per_part} AS int)")
     items = F.array_sort(F.collect_list(F.struct("item_no", *fields)))
     return numbered.groupBy(key, part.alias("part")).agg(

@@ -193,3 +193,18 @@ def test_sample_is_repeatable(spark):
     assert {r[0] for r in first.collect()} == {r[0] for r in again.collect()}
     assert {r[0] for r in first.collect()} != {r[0] for r in other.collect()}
     assert hash_sample(df, 1000, ["id"], 42).count() == 500
+
+
+def test_short_keys_are_collected_without_numbering(spark, monkeypatch):
+    from shelfmargin.operators import parts
+
+    def numbered(*_, **__):
+        raise AssertionError("keys of one part need no row numbers")
+
+    monkeypatch.setattr(parts, "number_rows", numbered)
+    rows = spark.createDataFrame([(1, 5), (1, 3), (2, None), (None, 4)], "key bigint, item bigint")
+    found = collect_in_parts(rows, "key", ["item"], "items", 2).orderBy("key").collect()
+    assert [(r["key"], r["part"], r["first_no"], [tuple(i) for i in r["items"]]) for r in found] == [
+        (1, 0, 1, [(1, 3), (2, 5)]),
+        (2, 0, 1, [(1, None)]),
+    ]
