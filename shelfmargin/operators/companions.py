@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmargin.operators.skew import HOT_ROWS, hot_keys, join_by_key
-from shelfmargin.session import checkpointed
+from shelfmargin.session import checkpointed, task_count
 
 HEADS = 64
 GROWTH = 16
@@ -45,12 +45,21 @@ def _best(counted: DataFrame, count: int) -> DataFrame:
 
 
 def _counted(anchors: DataFrame, heads: DataFrame, floor: int) -> DataFrame:
-    """Line pairs of the rows of ``anchors`` with the heads of their baskets."""
+    """Line pairs of the rows of ``anchors`` with the heads of their baskets.
+
+    Rows of two keys and a count are so small that tasks of even bytes would hold millions of pairs, so
+    the pairs are dealt by their number, which the sizes of the baskets tell.
+    """
     lines = anchors.select("order_id", F.col("product_id").alias("anchor_id"), F.col("lines").alias("anchor_lines"))
     hot = hot_keys(lines, "order_id", floor=floor)
+    met = lines.groupBy("order_id").agg(F.count("*").alias("left")).join(
+        heads.groupBy("order_id").agg(F.count("*").alias("right")), "order_id"
+    )
+    tasks = task_count(met.agg(F.sum(F.col("left") * F.col("right"))).first()[0] or 0)
     return (
         join_by_key(lines, heads.select("order_id", "product_id", "lines"), "order_id", hot)
         .where(F.col("product_id") != F.col("anchor_id"))
+        .repartition(tasks, "anchor_id", "product_id")
         .groupBy("anchor_id", "product_id")
         .agg(F.sum(F.col("anchor_lines") * F.col("lines")).alias("frequency"))
     )

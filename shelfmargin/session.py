@@ -10,6 +10,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_TASK = 250_000
+
+
 def build_session(app: str = "shelfmargin", master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution and UTC dates; keyword keys use ``__`` for dots."""
     builder = (
@@ -46,6 +49,15 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
+def task_count(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """The number of tasks that leaves each ``rows_per_task`` rows.
+
+    For ``repartition`` by keys before a step that holds its rows in memory: adaptive execution sizes
+    tasks by compressed bytes, and of narrow rows 64 MB are millions.
+    """
+    return max(1, -(-rows // rows_per_task))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach.
 

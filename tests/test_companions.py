@@ -81,3 +81,14 @@ def test_empty_and_alone(spark):
     assert fold_baskets(table(spark, [(1, 1), (1, 1), (None, 1)])).collect()[0]["lines"] == 2
     with pytest.raises(ValueError, match="heads"):
         top_companions(table(spark, []), 8, 8)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from shelfmargin.operators import companions
+
+    asked = []
+    monkeypatch.setattr(companions, "task_count", lambda rows: asked.append(rows) or 3)
+    lines = [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+    rows = top_companions(table(spark, lines), 2, 8).select("anchor_id", "product_id", "frequency", "rank").collect()
+    assert {tuple(r) for r in rows} == brute(lines, 2)
+    assert asked == [4 + 9]
