@@ -29,7 +29,12 @@ _SUMS = ("line_count", "order_ids", "sales_units", "profit_units", "profits", "d
 
 
 def facet_cube(lines: DataFrame) -> DataFrame:
-    """Cells of ``discount.prepare_lines`` rows: ``panel``, the filters, the panel keys, the measures."""
+    """Cells of ``discount.prepare_lines`` rows: ``panel``, the filters, the panel keys, the measures.
+
+    The lines are dealt by the filters first: each cell then has its lines in one task, which sends it
+    on once. Cells are several times as wide as lines, and tasks that each met all of them would send
+    each as often.
+    """
     facets = list(discount.FACETS)
     margin = F.col("profit_margin").cast("double")
     sums = {
@@ -44,7 +49,7 @@ def facet_cube(lines: DataFrame) -> DataFrame:
         "margins": F.count(margin),
     }
     sets = [facets + ([key] if key else []) for key in PANELS.values()]
-    cells = lines.groupingSets(sets, *facets, *_KEYS).agg(
+    cells = lines.repartition(*facets).groupingSets(sets, *facets, *_KEYS).agg(
         *[F.grouping(key).alias(f"no_{key}") for key in _KEYS],
         *[sums[name].alias(name) for name in _SUMS],
         *discount.moments(),

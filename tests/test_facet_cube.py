@@ -82,3 +82,9 @@ def test_round_bins_hold_their_values(spark, most):
     assert sum(r["row_count"] for r in rows) == len(values) and rows[-1]["bin"] < max(most, 2)
     for r in rows:
         assert r["row_count"] == sum(r["bin_start"] - 1e-9 <= v < r["bin_end"] - 1e-9 for v in values)
+
+
+def test_lines_are_dealt_by_the_filters(lines):
+    """A cell's lines are in one task, so a cell is sent on once and not by every task that meets it."""
+    plan = facet_cube.facet_cube(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("RepartitionByExpression")
