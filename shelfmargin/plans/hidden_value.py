@@ -32,12 +32,20 @@ THRESHOLDS = {
 GRAIN = ("product_id", "region")
 
 
-def product_region_facts(orders: DataFrame, location: DataFrame) -> DataFrame:
-    """Units, distinct orders, profit and sales per product and region."""
+def product_region_facts(
+    orders: DataFrame, location: DataFrame, tasks: int | None = None
+) -> DataFrame:
+    """Units, distinct orders, profit and sales per product and region.
+
+    With ``tasks`` the lines are dealt to that many before they are grouped, by the grain and the order,
+    which spreads the lines of any product; otherwise the joins' tasks group them.
+    """
     lines = orders.select("order_id", "product_id", "location_id", "quantity", "profit", "sales")
+    placed = lines.join(location.select("location_id", "region"), "location_id")
+    if tasks:
+        placed = placed.drop("location_id").repartition(tasks, *GRAIN, "order_id")
     return (
-        lines.join(location.select("location_id", "region"), "location_id")
-        .groupBy(*GRAIN)
+        placed.groupBy(*GRAIN)
         .agg(
             F.sum("quantity").alias("total_qty"),
             F.count_distinct("order_id").alias("frequency"),
@@ -48,7 +56,11 @@ def product_region_facts(orders: DataFrame, location: DataFrame) -> DataFrame:
 
 
 def hidden_base(
-    orders: DataFrame, location: DataFrame, product: DataFrame, catalog: DataFrame
+    orders: DataFrame,
+    location: DataFrame,
+    product: DataFrame,
+    catalog: DataFrame,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Product-region facts with names, categories and attributes.
 
@@ -58,7 +70,7 @@ def hidden_base(
     if "part" in catalog.columns:
         catalog = catalog.where(F.col("part") == 0)
     return (
-        product_region_facts(orders, location)
+        product_region_facts(orders, location, tasks)
         .join(product.select("product_id", "product_name"), "product_id", "left")
         .join(
             catalog.select("product_id", "full_name", "category", "sub_category", "attributes"),

@@ -12,9 +12,9 @@ from shelfmargin.functions.dates import date_text
 from shelfmargin.operators.checks import key_check, match_check
 from shelfmargin.plans import discount, etl, facet_cube, trap
 from shelfmargin.plans import hidden_value as hidden
-from shelfmargin.session import cached, checkpointed, new_folder
+from shelfmargin.session import cached, checkpointed, new_folder, task_count
 from shelfmargin.sources import testbed
-from shelfmargin.sources.files import read_documents, write_table
+from shelfmargin.sources.files import read_documents, read_table, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ HIDDEN_CHOICE = {"category": "SMALL", "regions": ["ASIA", "EUROPE"]}
 ANCHOR = 100
 LINE_ORDER = ("ori_product_id", "quantity", "sales", "discount", "shipping_cost")
 
+_RECAP_COLUMNS = (*etl.PRODUCT_KEY, *LINE_ORDER, "order_id", "order_date", "customer_id", "ship_mode", "ship_date", "profit")
 _ITEM_COLUMNS = ("order_id", "product_id", "sales")
 _HIDDEN_COLUMNS = ("order_id", "product_id", "location_id", "quantity", "profit", "sales")
 _DISCOUNT_COLUMNS = (*_HIDDEN_COLUMNS, "discount", "order_date")
@@ -61,6 +62,7 @@ def _hidden_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         testbed.location(spark, sf_dir),
         testbed.product(spark, sf_dir),
         testbed.product_catalog(spark, sf_dir),
+        task_count(testbed.line_count(spark, sf_dir)),
     )
 
 
@@ -153,7 +155,10 @@ def _flat_catalog(documents: DataFrame) -> DataFrame:
 
 
 def _recap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.order_recap(_keyed(testbed.sales_extract(spark, sf_dir)), LINE_ORDER)
+    """The extract is staged once, as in ``run_etl``, so that its joins do not run for every step."""
+    folder = new_folder(spark, "extract")
+    write_table(testbed.sales_extract(spark, sf_dir).select(*_RECAP_COLUMNS), folder, "parquet")
+    return etl.order_recap(_keyed(read_table(spark, folder)), LINE_ORDER)
 
 
 def _recap_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,3 +144,15 @@ def test_repeated_catalogue_rows_repeat_facts(spark, sf_tables):
     assert hidden.hidden_base(*args, doubled).count() == 2 * hidden.hidden_base(*args, catalog).count()
     parts = catalog.withColumn("part", F.lit(0)).unionAll(catalog.withColumn("part", F.lit(1)))
     assert hidden.hidden_base(*args, parts).count() == hidden.hidden_base(*args, catalog).count()
+
+
+def test_lines_are_dealt_before_they_are_grouped(spark):
+    orders = spark.createDataFrame(
+        [(1, 1, 1, 2, 1.5, 3.0), (1, 1, 1, 1, 0.5, 1.0), (2, 1, 1, 1, 1.0, 2.0), (None, 1, 1, 1, 1.0, 2.0), (3, 2, 9, 1, 1.0, 2.0)],
+        "order_id bigint, product_id bigint, location_id int, quantity bigint, profit double, sales double",
+    )
+    location = spark.createDataFrame([(1, "ASIA")], "location_id int, region string")
+    dealt = hidden.product_region_facts(orders, location, 3)
+    assert [tuple(r) for r in dealt.collect()] == [(1, "ASIA", 5, 2, 4.0, 8.0)]
+    assert "RepartitionByExpression" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt.collect() == hidden.product_region_facts(orders, location).collect()
