@@ -231,13 +231,19 @@ def weighted_levels(grams: DataFrame, folder: str) -> list[DataFrame]:
     return [level.select("at", (F.col("sure") + F.col("rest") * 0.5).alias("chance")) for level in levels]
 
 
+def _many(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join by sorting: Spark takes grams for as few bytes as the texts they come from
+    (a text has one per byte, a gram eight decisions) and would broadcast them through the driver."""
+    return rows.hint("merge")
+
+
 def _log_chance(chance: Column) -> Column:
     return F.log10(F.when(F.col("bit") == 1, chance).otherwise(1 - chance))
 
 
 def learnt_logs(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """``gram, held, log``: log10 probability of the coded byte of every gram of the training texts."""
-    joined = _decisions(grams).join(levels[DEPTH], "at")
+    joined = _many(_decisions(grams)).join(levels[DEPTH], "at")
     return joined.groupBy("gram").agg(F.max("held").alias("held"), F.sum(_log_chance(F.col("chance"))).alias("log"))
 
 
@@ -250,7 +256,7 @@ def other_logs(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
         .withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
         .withColumn("at", F.expr(f"shiftleft(shiftright(gram, 8 + 8 * ({DEPTH} - depth)), 8) | node"))
     )
-    best = asked.join(every, ["depth", "at"], "left").groupBy("gram", "node", "bit").agg(
+    best = _many(asked).join(_many(every), ["depth", "at"], "left").groupBy("gram", "node", "bit").agg(
         F.max_by("chance", F.when(F.col("chance").isNotNull(), F.col("depth"))).alias("chance")
     )
     return best.groupBy("gram").agg(F.sum(_log_chance(F.coalesce("chance", F.lit(0.5)))).alias("log"))
@@ -373,8 +379,9 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
     )
     rare_grams = made.where("gram is not null").select("doc_id", "text_hash", "gram", "n")
     asked = checkpointed(rare_grams.select("gram").distinct())
-    answers = asked.join(logs, "gram").select("gram", "log").unionAll(other_logs(asked.join(logs, "gram", "left_anti"), levels))
-    rare_grams = rare_grams.join(answers, "gram").select(
+    found, missing = (_many(asked).join(_many(logs), "gram", how) for how in ("inner", "left_anti"))
+    answers = found.select("gram", "log").unionAll(other_logs(missing, levels))
+    rare_grams = _many(rare_grams).join(_many(answers), "gram").select(
         "doc_id", "text_hash", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("total"), (F.col("n") * F.col("log")).alias("log")
     )
     rare = checkpointed(

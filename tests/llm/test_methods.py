@@ -282,6 +282,16 @@ def test_rare_grams_have_the_same_scores(documents, monkeypatch):
     assert sorted((r.doc_id, round(r.score, 4)) for r in context_tree.score_texts(table, table).collect()) == plain
 
 
+def test_grams_are_never_broadcast(spark):
+    """However small Spark takes them for: it does not see that each byte of a text is a gram."""
+    small = spark.range(20)
+    levels = [small.select(F.col("id").alias("at"), F.lit(0.5).alias("chance"))] * (context_tree.DEPTH + 1)
+    grams = small.select(F.col("id").alias("gram"), F.lit(1).alias("held"))
+    for made in (context_tree.learnt_logs(grams, levels), context_tree.other_logs(grams, levels)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_log_gamma(spark):
     values = [0.5, 1.0, 1.5, 7.9, 8.0, 100.5, 1e9]
     table = spark.createDataFrame([(v,) for v in values], "x double")
