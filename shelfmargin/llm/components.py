@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from shelfmargin.session import checkpointed
 
 
+def _both(rows: DataFrame, first: tuple[str, str], second: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """Two rows of two columns for each row."""
+    pairs = [F.struct(*[F.col(held).alias(name) for held, name in zip(pair, names)]) for pair in (first, second)]
+    return rows.select(F.inline(F.array(*pairs)))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: link the larger (or smaller) neighbours of each node to its least neighbour.
 
     The minimum is pre-aggregated, and the join back may be split by adaptive execution, so
-    a node with very many neighbours is spread over tasks. ``edges`` has u > v.
+    a node with very many neighbours is spread over tasks. ``edges`` has u > v. Both rows of an
+    edge come from one task: a union would double the tasks, which the driver keeps account of.
     """
     if large:
-        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(
-            edges.select(F.col("v").alias("node"), F.col("u").alias("other"))
-        )
+        ends = _both(edges, ("u", "v"), ("v", "u"), ("node", "other"))
     else:
         ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other"))
     least = ends.groupBy("node").agg(F.min("other").alias("low")).select(
@@ -27,9 +32,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         moved = joined.where(F.col("other") > F.col("node")).select(F.col("other").alias("u"), F.col("low").alias("v"))
     else:
-        moved = joined.where(F.col("other") != F.col("low")).select(
-            F.col("other").alias("u"), F.col("low").alias("v")
-        ).unionAll(least.select(F.col("node").alias("u"), F.col("low").alias("v")))
+        moved = _both(joined, ("other", "low"), ("node", "low"), ("u", "v"))
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 

@@ -100,7 +100,11 @@ def _buckets(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
-    """How many values fall into each of 2**bits buckets: an array of fixed size."""
+    """How many values fall into each of 2**bits buckets: an array of fixed size.
+
+    As floats of 32 bits, exact up to 2**24: the driver gets 8 bytes a bucket and sends 4. Rounding only
+    makes some more buckets equal in order.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -111,8 +115,9 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "held"])
 
     held = ready(sets).mapInArrow(count, "bucket long, held long")
-    found = held.groupBy("bucket").agg(F.sum("held").alias("held")).toArrow()
-    counts = np.zeros(1 << bits, np.int64)
+    summed = held.groupBy("bucket").agg(F.sum("held").alias("held"))
+    found = summed.select(F.col("bucket").cast("int"), F.col("held").cast("float")).toArrow()
+    counts = np.zeros(1 << bits, np.float32)
     counts[found["bucket"].to_numpy()] = found["held"].to_numpy()
     return counts
 
@@ -283,11 +288,9 @@ def near_duplicates(
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(grouped, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
-    unsettled = checkpointed(
-        _mixed(placed(shared.where(F.col("members") > 2).select("value", "class"))).select("class").distinct()
-    )
     # the sets are shuffled once more at most, and not at all while the classes to list are few
-    parts = checkpointed(placed(unsettled))
+    unsettled = _mixed(placed(shared.where(F.col("members") > 2).select("value", "class")))
+    parts = checkpointed(unsettled.select("class", "component").distinct())
     few = F.broadcast(parts) if parts.count() <= FEW_CLASSES else parts
     size = (F.octet_length("members") / 8).cast("long").alias("n_shingles")
     exact = _laid_down(

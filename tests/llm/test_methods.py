@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmargin.llm import byte_bpe, context_tree, exact_topk, language_id, license_scan, mixing, near_dedup
+from shelfmargin.llm import byte_bpe, components, context_tree, exact_topk, language_id, license_scan, mixing, near_dedup
 from shelfmargin.llm import substring_dedup
 from shelfmargin.llm.queries import QUERIES
 
@@ -282,6 +282,29 @@ def test_rare_grams_have_the_same_scores(documents, monkeypatch):
     assert sorted((r.doc_id, round(r.score, 4)) for r in context_tree.score_texts(table, table).collect()) == plain
 
 
+def test_components_read_each_edge_by_one_task(spark):
+    """A union of both directions would have twice the tasks of the edges."""
+    rng = np.random.default_rng(5)
+    pairs = [*((k, k + 1) for k in range(100, 140)), *((500, k) for k in range(501, 560)), *rng.integers(600, 700, (60, 2)).tolist(), (1, None), (2, 2)]
+    links = spark.createDataFrame([tuple(pair) for pair in pairs], "a long, b long")
+    expected = {k: k for pair in pairs if None not in pair and pair[0] != pair[1] for k in pair}
+    for _ in expected:
+        for x, y in pairs:
+            if x in expected and y in expected:
+                expected[x] = expected[y] = min(expected[x], expected[y])
+    assert sorted(map(tuple, components.components(links, "a", "b").collect())) == sorted(expected.items())
+    edges = spark.range(9).selectExpr("id + 1 as u", "id as v")
+    for large in (True, False):
+        assert "Union" not in components._star(edges, large)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bucket_counts_are_small(spark):
+    """The driver gets 8 bytes a bucket and broadcasts 4."""
+    sets = spark.createDataFrame([(np.array([3, 3 + 16, 5], np.uint64).tobytes(),), (np.array([3], np.uint64).tobytes(),)], "members binary")
+    counts = near_dedup._bucket_counts(sets, 4)
+    assert counts.itemsize == 4 and counts.tolist() == [0, 0, 0, 3, 0, 1] + [0] * 10
+
+
 def test_grams_are_never_broadcast(spark):
     """However small Spark takes them for: it does not see that each byte of a text is a gram."""
     small = spark.range(20)
