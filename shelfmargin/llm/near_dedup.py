@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from shelfmargin.llm.arrays import column, cut, fresh, map_batches, ready, shingle_sets, slices, utf8
 from shelfmargin.llm.components import components
-from shelfmargin.session import checkpointed, new_folder, removed
+from shelfmargin.session import checkpointed, new_folder, removed, shuffles_removed
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -45,7 +45,6 @@ MARGIN = 6.0
 LEADERS = 8
 BUCKET_BITS = 16
 EXACT_BITS = 20
-FEW_CLASSES = 1_000_000  # pairs of longs that may be broadcast, 16 MB
 PARITY = tuple(f"parity_{k}" for k in range(8))
 
 
@@ -188,21 +187,25 @@ def _laid_down(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``class, members`` (sorted shingle hashes) and the parity map of the classes in ``needed``."""
+def _whole_sets(
+    needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``class, members`` (sorted shingle hashes), the parity map and the longs ``keep`` of the classes in ``needed``."""
 
     def sets(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
         data, offsets = utf8(batch.column(1))
         for first, last in slices(offsets):
+            kept = [batch.column(k).slice(first, last - first) for k in range(2, 2 + len(keep))]
             found = list(shingle_sets(*cut(data, offsets, first, last), width))
             maps = np.array([parity_map(s) for s in found], np.int64)
             yield [
                 batch.column(0).slice(first, last - first),
                 pa.array([s.tobytes() for s in found], pa.binary()),
                 *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(PARITY))],
+                *kept,
             ]
 
-    wanted = classes.join(needed, "class").select("class", "text_hash")
+    wanted = classes.join(needed, "class").select("class", "text_hash", *keep)
     texts = (
         docs.select(F.xxhash64(text).alias("text_hash"), text)
         .join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
@@ -210,9 +213,9 @@ def _whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: st
         .agg(F.any_value(text).alias("whole"))
     )
     return map_batches(
-        texts.join(wanted, "text_hash").select("class", "whole"),
+        texts.join(wanted, "text_hash").select("class", "whole", *keep),
         sets,
-        ", ".join(["class long, members binary", *[f"{name} long" for name in PARITY]]),
+        ", ".join(["class long, members binary", *[f"{name} long" for name in (*PARITY, *keep)]]),
     )
 
 
@@ -239,22 +242,11 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return entries.join(lists.where(F.col("low") < F.col("high")).select("value"), "value", "left_semi")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS
-) -> tuple[DataFrame, DataFrame]:
-    """Group near duplicates: ``(rows, links)``.
+def _grouped(source: DataFrame, folder: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, n_shingles, component`` of each row of ``source``, and the links of the classes.
 
-    ``rows`` has one row per row of ``docs``: ``doc_id, n_shingles, text_hash, group`` (null
-    without words), ``component_id`` (smallest non-null id of the group) and ``kept``. ``links`` has the
-    confirmed pairs ``a, b`` of classes. A row whose text is null or has no word is its own
-    component and kept. A row with null id keeps null only if no row it reaches has an id.
-    Repeated ids are grouped by text like any other rows; other columns are ignored.
+    The steps in between are tables of ``folder``; what is returned stands in checkpoints.
     """
-    source = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
-    )
-    # tables of the steps in between; what is returned stands in checkpoints
-    folder = new_folder(docs.sparkSession, "near_dedup")
     # rows are cheap to make again from their texts; only the classes are laid down
     rows = sketches(source, "text", ("doc_id", "text_hash"), width).withColumnRenamed("class", "digest")
     classes = _laid_down(
@@ -278,24 +270,22 @@ def near_duplicates(
         F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")
     ).distinct()
     near_stars = checkpointed(_estimated(stars, classes))
-    # texts are shuffled once, for the sets of all classes that share a list
-    whole = _laid_down(
-        _whole_sets(shared.select("class").distinct(), classes, source, "text", width), folder, "whole"
-    )
-    first = _confirmed(near_stars, whole)
+    # sets are larger than their texts: only those of classes to compare are made, and go when that is done
+    compared = near_stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    first = _confirmed(near_stars, _laid_down(_whole_sets(compared, classes, source, "text", width), folder, "compared"))
+    removed(source.sparkSession, f"{folder}/compared")
     grouped = checkpointed(components(first, "a", "b").withColumnRenamed("node", "class"))
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(grouped, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
-    # the sets are shuffled once more at most, and not at all while the classes to list are few
     unsettled = _mixed(placed(shared.where(F.col("members") > 2).select("value", "class")))
     parts = checkpointed(unsettled.select("class", "component").distinct())
-    few = F.broadcast(parts) if parts.count() <= FEW_CLASSES else parts
+    whole = _laid_down(_whole_sets(parts, classes, source, "text", width, ("component",)), folder, "whole")
     size = (F.octet_length("members") / 8).cast("long").alias("n_shingles")
     exact = _laid_down(
         list_entries(
-            whole.select("class", "members", size).join(few, "class"), whole, "members", exact_overlap,
+            whole.select("class", "members", size, "component"), whole, "members", exact_overlap,
             ("component",), EXACT_BITS,
         ),
         folder,
@@ -316,7 +306,8 @@ def near_duplicates(
     # sizes and maps join the few rows of mixed lists, not all rows of the lists
     listed = _mixed(exact).join(whole.select("class", size, *PARITY), "class")
     rest = side(listed, "a").join(side(listed, "b"), "value").where(F.col("ca") < F.col("cb")).where(fits & alike)
-    rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
+    # laid down, so that the lists' shuffles are gone when the sets are shuffled
+    rest = checkpointed(rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti"))
     links = checkpointed(first.unionAll(_confirmed(rest, whole)).distinct())
 
     joined = components(links, "a", "b").withColumnRenamed("node", "class")
@@ -325,11 +316,27 @@ def near_duplicates(
         .join(joined, "class", "left")
         .select("digest", F.coalesce("component", "class").alias("component"))
     )
-    placed_rows = checkpointed(
-        rows.select("doc_id", "text_hash", "n_shingles", "digest")
-        .join(placed_classes, "digest", "left")
-        .drop("digest")
+    placed_rows = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(placed_classes, "digest", "left")
+    return checkpointed(placed_rows.drop("digest")), links
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS
+) -> tuple[DataFrame, DataFrame]:
+    """Group near duplicates: ``(rows, links)``.
+
+    ``rows`` has one row per row of ``docs``: ``doc_id, n_shingles, text_hash, group`` (null
+    without words), ``component_id`` (smallest non-null id of the group) and ``kept``. ``links`` has the
+    confirmed pairs ``a, b`` of classes. A row whose text is null or has no word is its own
+    component and kept. A row with null id keeps null only if no row it reaches has an id.
+    Repeated ids are grouped by text like any other rows; other columns are ignored.
+    """
+    source = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
+    folder = new_folder(docs.sparkSession, "near_dedup")
+    with shuffles_removed(docs.sparkSession):
+        placed_rows, links = _grouped(source, folder, width)
     removed(docs.sparkSession, folder)
     ids = placed_rows.where(F.col("component").isNotNull()).groupBy("component").agg(
         F.min("doc_id").alias("component_id")

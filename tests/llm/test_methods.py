@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import glob
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -19,6 +21,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from shelfmargin import session
 from shelfmargin.llm import byte_bpe, components, context_tree, exact_topk, language_id, license_scan, mixing, near_dedup
 from shelfmargin.llm import substring_dedup
 from shelfmargin.llm.queries import QUERIES
@@ -76,6 +79,45 @@ def test_near_duplicates_in_hot_groups(documents):
     assert got == brute_components(table)
 
 
+def test_sets_only_of_classes_to_compare(documents, monkeypatch):
+    """A set is larger than its text: it stays unmade where a text only shares a block with another."""
+    apart = [(i, " ".join(f"p{block % 60}-{k}" for block in (i, i + 1) for k in range(30))) for i in range(60)]
+    near = [(100 + i, " ".join(f"q{k}" for k in range(100 + i))) for i in range(2)]
+    made, laid = {}, near_dedup._laid_down
+
+    def counted(df, folder, name):
+        table = laid(df, folder, name)
+        made[name] = (table.count(), table.columns)
+        return table
+
+    monkeypatch.setattr(near_dedup, "_laid_down", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(apart + near))[0].collect()}
+    assert got == brute_components(apart + near)
+    listed = {name: rows for name, (rows, columns) in made.items() if "members" in columns and "value" not in columns}
+    assert made["shared"][0] > 60 and sum(listed.values()) == 2
+
+
+def test_shuffles_go_with_their_action(spark):
+    """Not when the driver collects its garbage: near dedup would hold those of all its steps."""
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+
+    def held():
+        return {path for folder in folders for path in glob.glob(f"{folder}/*/shuffle_*.data")}
+
+    old = held()
+    with session.shuffles_removed(spark):
+        rows = session.checkpointed(spark.range(1000).repartition(7, "id"))
+        assert rows.count() == 1000
+    for _ in range(50):
+        if not held() - old:
+            break
+        time.sleep(0.1)
+    assert not held() - old
+    assert rows.distinct().count() == 1000 and spark.conf.get(setting, None) == before
+
+
 def test_overlap_bounds():
     assert near_dedup.least_overlap(4) == 3
     assert near_dedup.least_overlap(40) == 30
