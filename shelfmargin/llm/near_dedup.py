@@ -45,6 +45,7 @@ MARGIN = 6.0
 LEADERS = 8
 BUCKET_BITS = 16
 EXACT_BITS = 20
+COUNTS_SENT = 1 << 16  # buckets in an Arrow batch, 1 MB; all at once are 16 MB in the worker and again in its executor
 PARITY = tuple(f"parity_{k}" for k in range(8))
 
 
@@ -110,8 +111,9 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             for row in batch.column(0).to_pylist():
                 np.add.at(total, _buckets(np.frombuffer(row, np.uint64), bits), 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "held"])
+        for first in range(0, len(total), COUNTS_SENT):
+            found = first + np.flatnonzero(total[first : first + COUNTS_SENT])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "held"])
 
     held = ready(sets).mapInArrow(count, "bucket long, held long")
     summed = held.groupBy("bucket").agg(F.sum("held").alias("held"))

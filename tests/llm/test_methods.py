@@ -347,6 +347,17 @@ def test_bucket_counts_are_small(spark):
     assert counts.itemsize == 4 and counts.tolist() == [0, 0, 0, 3, 0, 1] + [0] * 10
 
 
+def test_bucket_counts_of_many_batches(spark):
+    """Counts leave a task in batches of ``COUNTS_SENT`` buckets; each comes once and in its place."""
+    values = np.arange(0, 5 * near_dedup.COUNTS_SENT, 3, dtype=np.uint64)
+    sets = spark.createDataFrame([(values.tobytes(),), (values[:9].tobytes(),)], "members binary")
+    counts = near_dedup._bucket_counts(sets, 20)
+    expected = np.zeros(1 << 20)
+    np.add.at(expected, values.astype(np.int64), 1)
+    np.add.at(expected, values[:9].astype(np.int64), 1)
+    assert counts.tolist() == expected.tolist()
+
+
 def test_grams_are_never_broadcast(spark):
     """However small Spark takes them for: it does not see that each byte of a text is a gram."""
     small = spark.range(20)
