@@ -124,6 +124,23 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
+def giving_back(
+    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``; after each task the worker returns the memory that Arrow no longer uses.
+
+    Workers live on between tasks, several to an executor, whose memory theirs counts with.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return over
+
+
 def map_batches(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], Iterator[Sequence[pa.Array]]],
@@ -147,7 +164,7 @@ def map_batches(
                     yield pa.RecordBatch.from_arrays(list(columns), names)
 
     sent = ready(df).toDF(*[f"c{k}" for k in range(len(df.columns))])
-    return sent.mapInArrow(over, plain).toDF(*schema.names)
+    return sent.mapInArrow(giving_back(over), plain).toDF(*schema.names)
 
 
 def column(name: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmargin.llm.arrays import column, cut, fresh, map_batches, powers, ready, slices, splitmix, utf8
+from shelfmargin.llm.arrays import column, cut, fresh, giving_back, map_batches, powers, ready, slices, splitmix, utf8
 
 BUCKETS = 1 << 15
 LONGEST = 3
@@ -99,7 +99,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
                 ["lang", "feature", "held"],
             )
 
-    partial = ready(known).mapInArrow(count, "lang string, feature long, held long")
+    partial = ready(known).mapInArrow(giving_back(count), "lang string, feature long, held long")
     summed = partial.groupBy("lang", "feature").agg(F.sum("held").alias("held"))
     counts: dict[str, np.ndarray] = {}
     for row in summed.toLocalIterator(prefetchPartitions=True):

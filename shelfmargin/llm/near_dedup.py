@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmargin.llm.arrays import column, cut, fresh, map_batches, ready, shingle_sets, slices, utf8
+from shelfmargin.llm.arrays import column, cut, fresh, giving_back, map_batches, ready, shingle_sets, slices, utf8
 from shelfmargin.llm.components import components
 from shelfmargin.session import checkpointed, new_folder, removed, shuffles_removed
 
@@ -115,7 +115,7 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
             found = first + np.flatnonzero(total[first : first + COUNTS_SENT])
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "held"])
 
-    held = ready(sets).mapInArrow(count, "bucket long, held long")
+    held = ready(sets).mapInArrow(giving_back(count), "bucket long, held long")
     summed = held.groupBy("bucket").agg(F.sum("held").alias("held"))
     found = summed.select(F.col("bucket").cast("int"), F.col("held").cast("float")).toArrow()
     counts = np.zeros(1 << bits, np.float32)

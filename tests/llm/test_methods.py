@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfmargin import session
-from shelfmargin.llm import byte_bpe, components, context_tree, exact_topk, language_id, license_scan, mixing, near_dedup
+from shelfmargin.llm import arrays, byte_bpe, components, context_tree, exact_topk, language_id, license_scan, mixing, near_dedup
 from shelfmargin.llm import substring_dedup
 from shelfmargin.llm.queries import QUERIES
 
@@ -118,6 +118,38 @@ def test_shuffles_go_with_their_action(spark):
     assert rows.distinct().count() == 1000 and spark.conf.get(setting, None) == before
 
 
+def test_workers_give_back_memory(documents, monkeypatch):
+    """Arrow keeps what its arrays had: idle workers would hold it beside those at work."""
+    calls, wrapped = [], []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(len(calls))
+
+    def failing(batches):
+        yield next(batches)
+        raise ValueError
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(arrays.pa, "default_memory_pool", Pool)
+        assert list(arrays.giving_back(lambda batches: batches)(iter([1, 2]))) == [1, 2] and len(calls) == 1
+        with pytest.raises(ValueError):
+            list(arrays.giving_back(failing)(iter([1])))
+        assert len(calls) == 2
+
+    def noted(function):
+        wrapped.append(function)
+        return given_back(function)
+
+    given_back = arrays.giving_back
+    for module in (arrays, language_id, near_dedup):
+        monkeypatch.setattr(module, "giving_back", noted)
+    table = documents([(k, "a b c") for k in range(6)])
+    near_dedup._bucket_counts(near_dedup.sketches(table, "text", ()).select("sketch"), 4)
+    assert len(wrapped) == 2
+    assert language_id.train(table)[0] == ["en"] and len(wrapped) == 3
+
+
 def test_overlap_bounds():
     assert near_dedup.least_overlap(4) == 3
     assert near_dedup.least_overlap(40) == 30
