@@ -124,23 +124,16 @@ def order_recap(
     first product in the order. Head, totals and shipping stand in part 0 alone, so sums over
     documents are sums over orders.
     """
-    sales = sales.where(F.col("order_id").isNotNull())
     item_fields = ("product_id", "quantity", "sales", "profit", "discount")
     first_line = F.struct(*line_order, "order_date", "customer_id", "ship_mode", "ship_date")
-    totals = ("total_profit", "total_sales", "total_shipping_cost")
-    heads = sales.groupBy("order_id").agg(
-        F.min(first_line).alias("first"),
-        rounded(exact_sum("profit"), 3).alias("total_profit"),
-        rounded(exact_sum("sales"), 3).alias("total_sales"),
-        rounded(exact_sum("shipping_cost", 6), 3).alias("total_shipping_cost"),
-    )
+    totals = {
+        "first": F.min(first_line),
+        "total_profit": rounded(exact_sum("profit"), 3),
+        "total_sales": rounded(exact_sum("sales"), 3),
+        "total_shipping_cost": rounded(exact_sum("shipping_cost", 6), 3),
+    }
     fields = list(dict.fromkeys([*line_order, *item_fields]))
-    # both sides are dealt by the order alone already, so they meet without another shuffle
-    docs = (
-        collect_in_parts(sales, "order_id", fields, "lines", items_per_part)
-        .join(heads, "order_id", "left")
-        .withColumns({name: F.when(F.col("part") == 0, F.col(name)) for name in ("first", *totals)})
-    )
+    docs = collect_in_parts(sales, "order_id", fields, "lines", items_per_part, totals)
 
     def item(line: Column) -> Column:
         return F.struct(

@@ -12,7 +12,7 @@ from shelfmargin.functions.dates import date_text
 from shelfmargin.operators.checks import key_check, match_check
 from shelfmargin.plans import discount, etl, facet_cube, trap
 from shelfmargin.plans import hidden_value as hidden
-from shelfmargin.session import cached, checkpointed, new_folder, task_count
+from shelfmargin.session import cached, checkpointed, new_folder, removed, shuffles_removed, task_count
 from shelfmargin.sources import testbed
 from shelfmargin.sources.files import read_documents, read_table, write_table
 
@@ -154,11 +154,22 @@ def _flat_catalog(documents: DataFrame) -> DataFrame:
     )
 
 
+def _staged_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the extract's lines with their product key.
+
+    Extract and keyed lines are staged once each, as in ``run_etl``, and what only a step before needs goes:
+    its shuffle files, the product names and the extract.
+    """
+    extract, keyed = new_folder(spark, "extract"), new_folder(spark, "keyed")
+    with shuffles_removed(spark):
+        write_table(testbed.sales_extract(spark, sf_dir).select(*_RECAP_COLUMNS), extract, "parquet")
+        write_table(_keyed(read_table(spark, extract)).drop(*etl.PRODUCT_KEY), keyed, "parquet")
+    removed(spark, extract)
+    return keyed
+
+
 def _recap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extract is staged once, as in ``run_etl``, so that its joins do not run for every step."""
-    folder = new_folder(spark, "extract")
-    write_table(testbed.sales_extract(spark, sf_dir).select(*_RECAP_COLUMNS), folder, "parquet")
-    return etl.order_recap(_keyed(read_table(spark, folder)), LINE_ORDER)
+    return etl.order_recap(read_table(spark, _staged_lines(spark, sf_dir)), LINE_ORDER)
 
 
 def _recap_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import datetime
+import glob
 import json
+import os
+import time
 from decimal import Decimal
 from pathlib import Path
 
 import pytest
 
+from shelfmargin import registry, session
 from shelfmargin.plans import etl
-from shelfmargin.sources import files
+from shelfmargin.sources import files, testbed
 
 TITLES = ";".join(title for title, _, _ in files.SALES_COLUMNS)
 LINES = [
@@ -164,3 +168,54 @@ def test_testbed_keys_have_partners(spark, sf_dir):
 
     narrow = testbed.order_lines(spark, sf_dir, ("order_id", "product_id", "sales"))
     assert narrow.count() == testbed.order_lines(spark, sf_dir).count()
+
+
+def test_lines_are_dealt_once_for_documents_and_heads(spark, sales, tmp_path):
+    files.write_table(etl.attach_product(sales, etl.product_table(sales)), str(tmp_path / "keyed"), "parquet")
+    docs = etl.order_recap(files.read_table(spark, str(tmp_path / "keyed")))
+    assert docs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert docs.where("order_id = 'O-1'").first()["total_sales"] == 1245.06
+
+
+def _star(spark, folder):
+    """Three orders of five lines over two parts, as star tables."""
+    day = datetime.datetime(1996, 1, 2)
+    rows = {
+        "region": [(0, "ASIA")],
+        "nation": [(0, "CHINA", 0)],
+        "customer": [(0, "Ann", 0, 1.0, "AUTO")],
+        "part": [(0, "bolt", "Brand#1", "SMALL", 3, 900.0), (1, "ring", "Brand#2", "LARGE", 4, 901.5)],
+        "orders": [(k, 0, "O", 1.0, day, "1-URGENT") for k in range(3)],
+        "lineitem": [(k % 3, k % 2, 0, k, 1.0 + k, 1000.0 + k, 0.1, 0.02, "N", "O", day) for k in range(5)],
+    }
+    for name, table in rows.items():
+        spark.createDataFrame(table, testbed._SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def _held(spark):
+    """Shuffle files on disk, and staged tables in the shared folder."""
+    disks = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shared = session.shared_folder(spark).removeprefix("file:")
+    staged = {path for name in ("extract", "keyed", "recap", "export") for path in glob.glob(f"{shared}/{name}-*")}
+    return {path for disk in disks for path in glob.glob(f"{disk}/*/shuffle_*.data")}, staged
+
+
+def _left(spark, query, folder):
+    """What a query's result waits on: its shuffle files and the kinds of its staged tables."""
+    shuffles, staged = _held(spark)
+    result = registry.QUERIES[query](spark, folder)
+    for _ in range(50):  # files go soon after their action
+        if not _held(spark)[0] - shuffles:
+            break
+        time.sleep(0.1)
+    after = _held(spark)
+    return result, after[0] - shuffles, sorted(os.path.basename(path).split("-")[0] for path in after[1] - staged)
+
+
+def test_recap_keeps_no_file_of_earlier_steps(spark, tmp_path):
+    result, shuffles, staged = _left(spark, "order_recap_flat", _star(spark, tmp_path))
+    assert not shuffles and staged == ["keyed"]
+    rows = {r["order_id"]: r for r in result.collect()}
+    assert [rows[k]["product_count"] for k in range(3)] == [2, 2, 1]
+    assert rows[2]["total_sales"] == 501.0 and rows[2]["shipping_cost"] == 10.02
