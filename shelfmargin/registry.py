@@ -190,7 +190,15 @@ def _recap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recap_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines_of_recap(_exported(spark, _recap_documents(spark, sf_dir)))
+    """The documents are staged too, so that the arrays, many times as large as the lines, never lie
+    beside the lines and their shuffle."""
+    keyed, staged = _staged_lines(spark, sf_dir), new_folder(spark, "recap")
+    with shuffles_removed(spark):
+        write_table(etl.order_recap(read_table(spark, keyed), LINE_ORDER), staged, "parquet")
+        removed(spark, keyed)
+        documents = _exported(spark, read_table(spark, staged))
+    removed(spark, staged)
+    return _lines_of_recap(documents)
 
 
 def _lines_of_recap(documents: DataFrame) -> DataFrame:

@@ -219,3 +219,10 @@ def test_recap_keeps_no_file_of_earlier_steps(spark, tmp_path):
     rows = {r["order_id"]: r for r in result.collect()}
     assert [rows[k]["product_count"] for k in range(3)] == [2, 2, 1]
     assert rows[2]["total_sales"] == 501.0 and rows[2]["shipping_cost"] == 10.02
+
+
+def test_recap_export_keeps_only_the_arrays(spark, tmp_path):
+    result, shuffles, staged = _left(spark, "order_recap_export", _star(spark, tmp_path))
+    assert not shuffles and staged == ["export"]
+    found = sorted((r["order_id"], r["line_no"], r["quantity"]) for r in result.collect())
+    assert found == [(0, 0, 1), (0, 1, 4), (1, 0, 5), (1, 1, 2), (2, 0, 3)]
